@@ -2,7 +2,9 @@
 
 Texts are normalised by deleting ASCII white space. Sampled splitters range-partition the
 normalised text, each partition is sorted externally, so that equal texts stand side by side, and
-the window operator compares neighbours in full to find the runs. Texts that hold more than one
+the window operator compares neighbours in full to find the runs. Splitters are short (the first
+``PREFIX`` characters and a fingerprint), so the sample that the driver sees stays small however
+long the texts are; texts that agree in both are still compared in full. Texts that hold more than one
 row in ``HOT_SHARE`` are found first by fingerprint; their runs are split by a salt, and the few
 salted runs (at most ``HOT_SHARE`` texts times ``SALTS``) are joined by digest afterwards.
 
@@ -21,6 +23,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: A text is hot when it holds more than one in HOT_SHARE of all rows; so there are fewer than HOT_SHARE hot texts.
 HOT_SHARE = 512
 SALTS = 512
+PREFIX = 64
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -40,13 +43,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select("print", F.lit(True).alias("hot"))
     )
     rows = base.select("doc_id", norm.alias("norm"), F.length(text).alias("len"), F.xxhash64(norm).alias("print"))
-    rows = rows.join(F.broadcast(hot), "print", "left").drop("print")
+    rows = rows.join(F.broadcast(hot), "print", "left").withColumn("prefix", F.substring("norm", 1, PREFIX))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "len"), F.lit(SALTS))).otherwise(F.lit(0))
     rows = rows.withColumn("salt", salt.cast("int"))
 
-    run = Window.partitionBy("norm", "salt")
+    run = Window.partitionBy("prefix", "print", "salt", "norm")
     order = run.orderBy(F.desc("len"), F.asc_nulls_last("doc_id"))
-    runs = rows.repartitionByRange("norm", "salt").select(
+    runs = rows.repartitionByRange("prefix", "print", "salt").select(
         "doc_id",
         "len",
         F.coalesce("hot", F.lit(False)).alias("hot"),
