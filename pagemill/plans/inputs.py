@@ -41,27 +41,33 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("n_regionkey").cast("string").alias("document_id"), page.alias("pdf_page"), top.alias("top"), text.alias("text"), key.alias("ord"))
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitems with ``line``, their number within the order (``l_linenumber`` repeats)."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    return table(spark, sf_dir, "lineitem").withColumn("line", F.row_number().over(order))
+
+
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box for each lineitem; orders are documents and ship modes of three pages."""
     x0, y0 = F.col("l_quantity") * 4, F.round(F.col("l_discount") * 2000)
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("document_id"), (F.col("l_suppkey") % 3).cast("int").alias("pdf_page"), F.col("l_linenumber").alias("box_no"),
-        x0.alias("x0"), y0.alias("y0"), (x0 + 30 + F.round(F.col("l_tax") * 1000)).alias("x1"), (y0 + 20 + F.col("l_linenumber") * 8).alias("y1"),
+    return order_lines(spark, sf_dir).select(
+        F.col("l_orderkey").alias("document_id"), (F.col("l_suppkey") % 3).cast("int").alias("pdf_page"), F.col("line").alias("box_no"),
+        x0.alias("x0"), y0.alias("y0"), (x0 + 30 + F.round(F.col("l_tax") * 1000)).alias("x1"), (y0 + 20 + F.col("line") * 8).alias("y1"),
     )
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is a table and a lineitem a row of seven raw columns, with stray symbols and negatives."""
-    li = table(spark, sf_dir, "lineitem")
+    li = order_lines(spark, sf_dir)
     price = F.format_number(F.col("l_extendedprice").cast("long"), 0)
     price = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("("), price, F.lit(")"))).otherwise(price)
-    odd = F.col("l_linenumber") % 2 == 1
+    odd = F.col("line") % 2 == 1
     merged = F.when(F.col("l_orderkey") % 11 == 0, F.concat(price, F.lit(" "), price)).otherwise(price)
     texts = [
-        F.concat(F.lit("Line "), F.col("l_linenumber").cast("string")), F.when(odd, F.lit("$")).otherwise(merged), F.when(odd, merged).otherwise(F.lit("")),
+        F.concat(F.lit("Line "), F.col("line").cast("string")), F.when(odd, F.lit("$")).otherwise(merged), F.when(odd, merged).otherwise(F.lit("")),
         F.lit(" "), F.lit("$"), F.col("l_quantity").cast("long").cast("string"), F.lit("%"),
     ]
-    rows = li.select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row"), F.posexplode(F.array(*texts)).alias("col", "text"))
+    rows = li.select(F.col("l_orderkey").alias("table_id"), F.col("line").alias("row"), F.posexplode(F.array(*texts)).alias("col", "text"))
     return rows
 
 

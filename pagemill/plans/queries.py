@@ -425,12 +425,13 @@ def contains_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage: found by an equality join on five-word shingles, then checked in full."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 5, F.lit(0))), lambda i: F.array_join(F.slice(c, i + 1, 5), " ")))
     words = lambda c: F.split(F.regexp_replace(F.lower(c), r"[^a-z]+", " "), " ")
-    q = inputs.questions(spark, sf_dir).select("question_id", "question", F.trim("question").alias("t"))
+    q = inputs.questions(spark, sf_dir).select("question_id", F.trim("question").alias("t"))
     # The third shingle of a passage lies inside it, whatever stands around it in a document.
     q = q.withColumn("gram", F.array_join(F.slice(words(F.col("t")), 3, 5), " "))
-    d = inputs.table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(grams(words(F.col("text")))).alias("gram"))
+    d = inputs.table(spark, sf_dir, "documents").select("doc_id", "text", words(F.col("text")).alias("w"))
+    grams = F.transform(F.col("w"), lambda x, i: F.array_join(F.slice(F.col("w"), i + 1, F.lit(5)), " "))
+    d = d.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("gram"))
     found = d.join(q, "gram").where(F.contains("text", F.col("t")))
     return found.groupBy("question_id").agg(F.sort_array(F.collect_set("doc_id")).alias("expected"))
 
@@ -493,7 +494,7 @@ def eval_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents merged with a second version of those of even id and with new ones."""
     docs = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("embed_text"))
-    newer = docs.where("cast(chunk_id as bigint) % 2 = 0").select("chunk_id", F.upper("embed_text").alias("embed_text"))
+    newer = docs.where("cast(chunk_id as bigint) % 2 = 0").select("chunk_id", F.concat(F.lit("v2 "), "embed_text").alias("embed_text"))
     added = docs.where("cast(chunk_id as bigint) % 10 = 3").select(F.concat("chunk_id", F.lit("-new")).alias("chunk_id"), "embed_text")
     out = merge_by_key(docs, newer.unionByName(added), "chunk_id")
     return out.select("chunk_id", F.length("embed_text").cast("long").alias("n"), F.md5("embed_text").alias("text_md5"))
