@@ -174,13 +174,24 @@ def components(edges: DataFrame) -> DataFrame:
     return materialise(join_unique(labels, least, ["label"]).select("node", F.col("least").alias("label")), "components")
 
 
-def linked(grouped: DataFrame, verify) -> DataFrame:
+def mixed_nodes(grouped: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node): members of buckets that hold more than one component."""
+    at = grouped.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    ends = at.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    return at.join(ends.where("low <> high").select("bucket"), "bucket", "left_semi").select("node").distinct()
+
+
+def linked(grouped: DataFrame, verify, refine=None) -> DataFrame:
     """Components of all verified candidate pairs of ``grouped`` (see ``bucket_members``) as (node, label).
 
     First every member is held against its leaders; then, exactly for the buckets that stay
     mixed, the pairs between different components. ``verify`` takes (a, b) pairs and keeps the links.
+    ``refine`` may put the nodes of mixed buckets into other buckets, in which all nodes that may
+    still link share one; it keeps buckets of unlike nodes from yielding all their pairs.
     """
     first = components(verify(star_pairs(grouped)))
+    if refine is not None:
+        grouped = refine(materialise(mixed_nodes(grouped, first), "mixed"))
     pairs = materialise(cross_pairs(grouped, first), "pairs")
     if pairs.isEmpty():
         return first

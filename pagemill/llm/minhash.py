@@ -7,6 +7,11 @@ more need a round or two. Bands of ``ROWS`` coordinates give candidate buckets;
 against each other on their full shingle sets. See ``common`` for how buckets become components
 without all pairs.
 
+Documents that share a passage and little else may share a bucket too. Buckets that still hold
+several components are therefore refined by a prefix filter, which loses no link: two sets that are
+similar enough share one of the rarest shingles of each (a quarter of the set and one), and a
+passage that many documents share is not rare.
+
 Documents with equal shingle sets are one node from the start. A null or wordless text has an empty
 set and is linked with nothing. A repeated row (same id, same text) gets the same result as the
 first; a null id never names a component that has another id.
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import bucket_members, join_unique, linked, materialise, salts_for, small_batches
@@ -79,16 +84,13 @@ def sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
     for turn in range(2 * bins):
         x = mix(items ^ mix(np.full(1, turn + 1, _U))[0])
         if turn < bins:
-            at = ((x >> _U(40)) * _U(bins) >> _U(24)).astype(np.int64)
-            # Sorted by value downwards, the least value of a bin is written last.
-            order = np.argsort(x << _U(24))[::-1]
-            best = np.zeros(bins, _U)
-            hit = np.zeros(bins, bool)
-            best[at[order]] = x[order]
-            hit[at] = True
-            new = hit & empty
-            out[new] = best[new]
-            empty &= ~hit
+            # The high bits of the hash name the bin, so sorting puts the least value of each bin first.
+            x = np.sort(x)
+            at = ((x >> _U(32)) * _U(bins) >> _U(32)).astype(np.int64)
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            first = first[empty[at[first]]]
+            out[at[first]] = x[first]
+            empty[at[first]] = False
         elif empty[turn - bins]:
             out[turn - bins] = x.min()
             empty[turn - bins] = False
@@ -119,6 +121,29 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        sets = [shingle_set(t, hashes) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "items"]
+        )
+
+
+def rare_buckets(texts: DataFrame) -> DataFrame:
+    """(bucket, node) of texts (node, text): the rarest shingles of each set, as many as a prefix filter needs."""
+    sets = small_batches(texts).mapInArrow(_shingle_batches, "node long, items array<bigint>")
+    items = materialise(sets.select("node", F.size("items").alias("n"), F.explode("items").alias("bucket")), "shingles")
+    often = items.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Shingles of one document alone are the rarest and make no bucket: their number is all that counts.
+    shared = items.join(often, "bucket")
+    lone = shared.groupBy("node").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("shared"))
+    room = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.col("shared"))
+    order = Window.partitionBy("node").orderBy("df", "bucket")
+    rare = shared.select("node", "bucket", "df").join(lone.select("node", room.alias("room")).where("room > 0"), "node")
+    return rare.withColumn("place", F.row_number().over(order)).where("place <= room").select("bucket", "node")
+
+
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs come sorted by ``a``, so its set is made once for each run."""
     hashes, last, left = WordHashes(), None, np.empty(0, _U)
@@ -182,7 +207,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
         return materialise(small_batches(both).mapInArrow(_verify_batches, "a long, b long"), "links")
 
-    labels = linked(grouped, verify)
+    def refine(mixed: DataFrame) -> DataFrame:
+        rare = materialise(rare_buckets(texts.join(mixed, "node", "left_semi").dropDuplicates(["node"])), "rare")
+        return materialise(bucket_members(rare, salts_for(rare.count())), "rare-buckets")
+
+    labels = linked(grouped, verify, refine)
     named = nodes.select("node", "print", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialise(named, "named")
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
