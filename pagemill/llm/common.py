@@ -43,12 +43,31 @@ def scratch_root(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Makes Spark drop a statement's shuffle files when it ends; a written table doesn't need them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
@@ -70,21 +89,18 @@ def bytes_of(text: str) -> Column:
     return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
 
 
-def join_unique(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+def join_unique(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame | None = None) -> DataFrame:
     """Left join of ``rows`` to ``table`` (at most one row per key) that stands hot keys.
 
-    The ``HOT_KEYS`` most frequent keys of ``rows`` meet a broadcast table of at most that many
-    rows; all other rows take an ordinary shuffle join. Rows with a null key find no partner.
+    The ``HOT_KEYS`` most frequent keys of ``rows`` (or those in ``hot``, as many at most) meet a
+    broadcast table of at most that many rows; all other rows take an ordinary shuffle join. Rows
+    with a null key find no partner.
     """
-    hot = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 0)
-        .orderBy(F.desc("__n"), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys)
-    )
-    hot = materialise(hot, "hot-keys")
+    if hot is None:
+        hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
+        for k in keys:
+            hot = hot.where(F.col(k).isNotNull())
+        hot = materialise(hot.orderBy(F.desc("__n"), *keys).limit(HOT_KEYS).select(*keys), "hot-keys")
     of_hot = hot.join(table.join(F.broadcast(hot), keys, "left_semi"), keys, "left")
     near = rows.join(F.broadcast(of_hot), keys, "inner")
     cold = rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys, "left")
@@ -99,15 +115,17 @@ def salts_for(n_rows: int) -> int:
 def bucket_members(members: DataFrame, salts: int) -> DataFrame:
     """Members (bucket, node) of buckets with two or more nodes, with two levels of leaders.
 
-    Returns (bucket, node, leader, top): ``leader`` is the least node of the member's salted part
+    Buckets of one node go first, as most are. Returns (bucket, node, leader, top): ``leader`` is the least node of the member's salted part
     of the bucket, ``top`` the least node of the bucket. No key of any exchange holds more rows
     than a salted part has, so a bucket with a third of all nodes is spread over many tasks.
     """
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
-    part = salted.groupBy("bucket", "salt").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"))
-    top = part.groupBy("bucket").agg(F.min("leader").alias("top"), F.sum("n").alias("n")).where("n > 1")
-    led = part.drop("n").join(top.drop("n"), "bucket")
-    return salted.join(led, ["bucket", "salt"]).select("bucket", "node", "leader", "top")
+    counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("top")).where("n > 1")
+    multi = materialise(counts, "multi")
+    hot = multi.orderBy(F.desc("n"), "bucket").limit(HOT_KEYS).select("bucket")
+    kept = join_unique(members, multi.select("bucket", "top"), ["bucket"], hot).where("top is not null")
+    salted = kept.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
+    leaders = salted.groupBy("bucket", "salt").agg(F.min("node").alias("leader"))
+    return salted.join(leaders, ["bucket", "salt"]).select("bucket", "node", "leader", "top")
 
 
 def star_pairs(grouped: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Lines of ``MIN_WORDS`` words and more are normalised (A-Z lower-cased, digit runs to one zero,
 punctuation dropped, white space squeezed). Equal normalised lines are one node. Nodes get a
-128-bit SimHash of their words; two lines that differ in at most three bits agree in one of four
+128-bit SimHash of their pairs of neighbouring words; two lines that differ in at most three bits agree in one of four
 32-bit blocks, so the blocks are the candidate buckets. Candidates are verified by the edit
 similarity of the whole normalised lines (1 - Levenshtein distance / longer length, at least
 ``PERCENT`` %), and of every connected group one occurrence stays: that in the document with the
@@ -23,72 +23,99 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import bucket_members, join_unique, linked, materialise, salts_for, small_batches
+from pagemill.llm.common import bucket_members, discard, join_unique, linked, materialise, salts_for, small_batches
 
 MIN_WORDS = 5
 PERCENT = 75
 BLOCKS = 4
-_DIGITS = re.compile(rb"[0-9]+")
+_ZEROS = re.compile(rb"00+")
+_FOLD = bytes(b"0"[0] if chr(b).isdigit() and b < 128 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _DROP = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
+def fold(text: bytes) -> bytes:
+    """Whole texts after normalisation of their characters; line ends and white space stay."""
+    return _ZEROS.sub(b"0", text.translate(_FOLD, _DROP))
+
+
 def normal(line: bytes) -> list[bytes]:
     """Words of a line after normalisation."""
-    return _DIGITS.sub(b"0", line).translate(None, _DROP).lower().split()
+    return fold(line).split()
 
 
-class WordPrints(dict):
-    """128-bit hashes of words, kept while there are fewer than ``limit``."""
+class WordHashes(dict):
+    """64-bit hashes of words, kept while there are fewer than ``limit``."""
 
     def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        value = self[word] = xxhash.xxh3_128_digest(word)
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-def simhashes(lines: list[list[bytes]], prints: WordPrints) -> np.ndarray:
-    """SimHash of each line of words (at least one) as rows of four 32-bit blocks."""
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def pair_prints(words: list[bytes], hashes: WordHashes) -> np.ndarray:
+    """128-bit hashes, as two columns, of the pairs of neighbouring words."""
+    x = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    pairs = mix(x[:-1]) * np.uint64(3) + x[1:]
+    return np.stack([mix(pairs), mix(pairs + np.uint64(0x9E3779B97F4A7C15))], axis=1)
+
+
+def simhashes(lines: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
+    """SimHash of each line (two words or more) over its pairs of words, as rows of four 32-bit blocks.
+
+    Pairs tell lines apart that share no more than the frequent words of a language.
+    """
     out = np.empty((len(lines), BLOCKS), np.uint32)
     begin = 0
-    while begin < len(lines):  # some 100,000 words at a time
+    while begin < len(lines):  # some 50,000 words at a time
         end, n = begin, 0
-        while end < len(lines) and (end == begin or n + len(lines[end]) <= 100_000):
+        while end < len(lines) and (end == begin or n + len(lines[end]) <= 50_000):
             n += len(lines[end])
             end += 1
         part = lines[begin:end]
-        raw = b"".join([prints[w] for words in part for w in words])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(n, 128)
+        prints = pair_prints([w for words in part for w in words], hashes)
         lengths = np.fromiter(map(len, part), np.int64, len(part))
-        ends = np.cumsum(lengths)
+        last = np.cumsum(lengths)[:-1] - 1
+        prints = np.delete(prints, last, axis=0)  # pairs of words of two lines
+        lengths -= 1
+        bits = np.unpackbits(prints.view(np.uint8), axis=1)
         # Sums of up to 255 bits fit the bytes of a 64-bit word: add eight counters at once, then widen.
-        cuts = [np.arange(e - k, e, 255) for e, k in zip(ends, lengths, strict=True)]
-        sums = np.add.reduceat(bits.view(np.uint64), np.concatenate(cuts), axis=0).view(np.uint8).astype(np.int64)
-        of_line = np.concatenate([[0], np.cumsum([len(c) for c in cuts])[:-1]])
-        totals = np.add.reduceat(sums, of_line, axis=0)
+        starts = np.cumsum(lengths) - lengths
+        pieces = -(-lengths // 255)
+        firsts = np.cumsum(pieces) - pieces
+        cuts = np.repeat(starts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(firsts, pieces))
+        sums = np.add.reduceat(bits.view(np.uint64), cuts, axis=0).view(np.uint8).astype(np.int32)
+        totals = np.add.reduceat(sums, firsts, axis=0)
         out[begin:end] = np.packbits(2 * totals > lengths[:, None], axis=1).view(np.uint32)
         begin = end
     return out
 
 
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    prints = WordPrints()
+    hashes = WordHashes()
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         row, number, words = [], [], []
         for i, text in enumerate(texts):
-            for k, line in enumerate(text.split(b"\n") if text else ()):
-                if len(line) >= 2 * MIN_WORDS - 1 and len(w := normal(line)) >= MIN_WORDS:
+            for k, line in enumerate(fold(text).split(b"\n") if text else ()):
+                if len(line) >= 2 * MIN_WORDS - 1 and len(w := line.split()) >= MIN_WORDS:
                     row.append(i)
                     number.append(k)
                     words.append(w)
         ids = pa.array(row, pa.int64())
         nodes = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-        blocks = simhashes(words, prints).view(np.int32)
+        blocks = simhashes(words, hashes).view(np.int32)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(ids), batch.column("text_hash").take(ids), pa.array(number, pa.int32()), pa.array(nodes, pa.binary())]
             + [pa.array(blocks[:, i]) for i in range(BLOCKS)],
@@ -151,10 +178,10 @@ def _pick_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         nodes, lines = [], []
         for text, wanted in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            split = text.split(b"\n")
+            split = fold(text).split(b"\n")
             for w in wanted:
                 nodes.append(w["node"])
-                lines.append(b" ".join(normal(split[w["line"]])).decode("utf-8", "replace"))
+                lines.append(b" ".join(split[w["line"]].split()).decode("utf-8", "replace"))
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], names=["node", "text"])
 
 
@@ -186,6 +213,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a long, b long"), "line-links")
 
     labels = linked(grouped, verify)
+    discard(grouped, texts)
     # Only groups with more than one occurrence lose lines.
     named = nodes.select("id", "node", "n", "first").join(labels.withColumnsRenamed({"node": "id"}), "id", "left")
     named = materialise(named.where("n > 1 or label is not null"), "line-named")
@@ -194,6 +222,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = chained.groupBy("label").agg(F.min("first").alias("keep"))
     chained = join_unique(chained, first, ["label"]).select("node", F.col("keep").alias("first"))
     keep = materialise(alone.unionByName(chained), "line-keep")
+    discard(nodes, named)
     repeats = join_unique(lines.select("doc_id", "text_hash", "line", "node"), keep, ["node"]).where("first is not null")
     return repeats.where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "line")
 

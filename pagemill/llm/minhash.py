@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import bucket_members, join_unique, linked, materialise, salts_for, small_batches
+from pagemill.llm.common import bucket_members, discard, join_unique, linked, materialise, salts_for, small_batches
 
 SHINGLE = 5
 PERCENT = 75
@@ -212,6 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return materialise(bucket_members(rare, salts_for(rare.count())), "rare-buckets")
 
     labels = linked(grouped, verify, refine)
+    discard(grouped, texts)
     named = nodes.select("node", "print", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialise(named, "named")
     least = named.groupBy("label").agg(F.min("rep").alias("least"))

@@ -27,7 +27,7 @@ def brute(rows):
             if len(normal(line).split()) >= lines.MIN_WORDS:
                 at[r[0] is None, r[0], r[1], k] = normal(line)
     texts = sorted(set(at.values()))
-    hashes = lines.simhashes([t.encode().split() for t in texts], lines.WordPrints()) if texts else []
+    hashes = lines.simhashes([t.encode().split() for t in texts], lines.WordHashes()) if texts else []
     label = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
@@ -95,12 +95,12 @@ def test_distance():
 
 
 def test_simhash_matches_bit_sums():
-    prints = lines.WordPrints()
-    own = [[b"a"], [b"a", b"b", b"c"] * 200, [b"x%d" % i for i in range(700)], [b"y", b"z"]]
-    got = lines.simhashes(own, prints)
+    hashes = lines.WordHashes()
+    own = [[b"a", b"b"], [b"a", b"b", b"c"] * 200, [b"x%d" % i for i in range(700)], [b"y", b"z", b"y"], [b"w%d" % i for i in range(60_000)]]
+    got = lines.simhashes(own, hashes)
     for words, row in zip(own, got, strict=True):
-        bits = np.array([np.unpackbits(np.frombuffer(prints[w], np.uint8)) for w in words]).astype(int).sum(axis=0)
-        assert (np.packbits(2 * bits > len(words)).view(np.uint32) == row).all()
+        bits = np.unpackbits(lines.pair_prints(words, hashes).view(np.uint8), axis=1).astype(int).sum(axis=0)
+        assert (np.packbits(2 * bits > len(words) - 1).view(np.uint32) == row).all()
 
 
 def test_normal():
