@@ -9,15 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pagemill.errors import DocumentEncrypted, DocumentError, DocumentInvalid, DocumentMissing
 from pagemill.schemas import QUESTIONS, SPANS
 
 MAGIC = b"%PDF-"
-SPAN_COLUMNS = [c.strip().split()[0] for c in SPANS.split(",")]
 
 
 class Decoder(Protocol):
@@ -58,23 +59,23 @@ def read_spans(spark: SparkSession, path: str, decoder: Decoder, magic: bytes |
         raise DocumentMissing(str(e)) from e
     files = files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("document_id"), "content")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch["document_id"], batch["content"], strict=True):
+            for name, content in zip(batch.column("document_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
                     if magic and not content.startswith(magic):
                         raise DocumentInvalid("not of the expected kind")
                     rows = list(decoder.spans(name, content))
                     if not rows:
                         raise DocumentInvalid("no pages")
-                    out = pd.DataFrame(rows, columns=SPAN_COLUMNS)
-                    out["error"] = None
                 except DocumentError as e:
                     kind = {DocumentEncrypted: "encrypted", DocumentInvalid: "invalid"}.get(type(e), "unreadable")
-                    out = pd.DataFrame([{"document_id": name, "error": kind}], columns=[*SPAN_COLUMNS, "error"])
-                yield out
+                    rows = [{"document_id": name, "error": kind}]
+                yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    decoded = files.mapInPandas(run, SPANS + ", error string")
+    schema = StructType.fromDDL(SPANS + ", error string")
+    arrow = to_arrow_schema(schema)
+    decoded = files.mapInArrow(run, schema)
     return decoded.where("error is null").drop("error"), decoded.where("error is not null").select("document_id", "error")
 
 
