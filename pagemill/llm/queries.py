@@ -176,5 +176,94 @@ FROM r
 """
 
 
+OP3_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+r AS (SELECT *, row_number() OVER () AS row FROM w),
+grams AS (
+  SELECT row, unnest(range(1, len(ws) - 6)) AS i, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS gram FROM r WHERE len(ws) >= 8),
+twice AS (SELECT row, i FROM grams QUALIFY count(*) OVER (PARTITION BY row, gram) > 1),
+covered AS (SELECT row, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 8)) AS k) GROUP BY row),
+m AS (
+  SELECT r.doc_id, r.source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         (len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words
+  FROM r LEFT JOIN covered c ON c.row = r.row),
+f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS failed FROM f WHERE source IS NOT NULL GROUP BY 1),
+s AS (SELECT coalesce(avg(failed / n::DOUBLE), 0) AS mean, coalesce(var_pop(failed / n::DOUBLE), 0) AS spread, coalesce(avg(1e0 / n), 1) AS inverse FROM h),
+b AS (SELECT mean, (spread - mean * (1 - mean) * inverse) / greatest(1 - inverse, 1e-9) AS between_hosts FROM s),
+p AS (
+  SELECT mean, least(greatest(CASE WHEN between_hosts <= 0 THEN {quality.MAX_PRIOR!r} ELSE mean * (1 - mean) / between_hosts - 1 END, 1e0), {quality.MAX_PRIOR!r}) AS weight FROM b),
+rates AS (SELECT source, (failed + mean * weight) / (n + weight) AS host_rate FROM h, p)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(host_rate <= {quality.MAX_HOST_RATE!r}, true) AS kept, f.source, round(host_rate, 6) AS host_rate
+FROM f LEFT JOIN rates ON rates.source = f.source
+"""
+
+
+def _spans_sql(pattern: str, kind: str, test: str, group: int = 0) -> str:
+    """A list of spans of one pattern: what lies between the matches gives their places."""
+    quoted = pattern.replace("'", "''")
+    rank = secrets.KINDS.index(kind)
+    length = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
+    return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{quoted}')) + 1), lambda i: {{
+      's': ({length(f"string_split_regex(t, '{quoted}')[1:i]")} + {length(f"regexp_extract_all(t, '{quoted}')[1:i - 1]")})::BIGINT, 'r': {rank},
+      'e': ({length(f"string_split_regex(t, '{quoted}')[1:i]")} + {length(f"regexp_extract_all(t, '{quoted}')[1:i]")})::BIGINT,
+      'k': '{kind}', 'v': regexp_extract_all(t, '{quoted}', {group})[i]}}), lambda x: {test})"""
+
+
+_NEAR = f"x.s <= y.e + {secrets.SCOPE} AND y.s <= x.e + {secrets.SCOPE}"
+_ANY = f"len(list_filter({{}}, lambda y: {_NEAR})) > 0"
+_APART = "len(list_filter({}, lambda y: x.s < y.e AND y.s < x.e)) = 0"
+_NAMES = "array_to_string(list_transform({}, lambda x: x.k || ':' || x.s || ':' || x.e), ',')"
+_MIXED = "regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[a-z]') AND regexp_matches(x.v, '[A-Z]')"
+OP7_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+strong AS (
+  SELECT doc_id, t, {_spans_sql(secrets.ASSIGN, "assign", f"length(x.v) >= {secrets.MIN_ASSIGNED}", 1)} AS assign,
+         {_spans_sql(secrets.ACCESS, "access", f"length(x.v) >= {secrets.MIN_ACCESS}")} AS access, {_spans_sql(secrets.HEX, "hex", "true")} AS hex FROM t),
+parts AS (
+  SELECT *, list_concat(list_concat(assign, access), hex) AS base,
+         CASE WHEN len(assign) + len(access) > 0 THEN {_spans_sql(secrets.WEAK, "secret", _MIXED)} ELSE [] END AS weak,
+         CASE WHEN len(assign) + len(access) > 0 THEN {_spans_sql(secrets.ENDPOINT, "endpoint", "true")} ELSE [] END AS ends FROM strong),
+fresh AS (SELECT *, list_filter(weak, lambda x: {_APART.format("base")} AND {_APART.format("ends")}) AS own FROM parts),
+linked AS (SELECT *, list_filter(own, lambda x: {_ANY.format("access")} OR ({_ANY.format("ends")} AND {_ANY.format("assign")})) AS secret FROM fresh),
+done AS (
+  SELECT *, list_filter(ends, lambda x: {_ANY.format("access")} AND ({_ANY.format("secret")} OR {_ANY.format("assign")} OR {_ANY.format("hex")})) AS endpoint FROM linked)
+SELECT doc_id, len(assign)::BIGINT AS n_assign, len(access)::BIGINT AS n_access, len(hex)::BIGINT AS n_hex,
+       sha256({_NAMES.format("list_sort(base)")}) AS base_sha256, {_NAMES.format("list_sort(list_concat(list_concat(base, secret), endpoint))")} AS spans
+FROM done
+"""
+
+OP9_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+keys AS (
+  SELECT doc_id, source, size,
+         -ln((('0x' || md5(coalesce(doc_id::VARCHAR, '') || ':' || t)[1:13])::BIGINT + 0.5e0) / {1 << 52})
+           / greatest(0.1e0, 1e0 - len(regexp_extract_all(t, '[\x21-\x40\x5B-\x60\x7B-\x7E]')) / greatest(length(t), 1)::DOUBLE) AS key FROM d),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM keys GROUP BY 1),
+weighted AS (SELECT *, {list(map(float, mixing.WEIGHTS))}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1]::DOUBLE AS w, source_size * {float(mixing.MOST)!r} AS cap FROM sizes),
+level AS (
+  SELECT *, ((SELECT sum(source_size) FROM sizes) * {mixing.SHARE!r} - coalesce(sum(cap) OVER before, 0)) / sum(w) OVER rest AS high
+  FROM weighted WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                       rest AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+chosen AS (SELECT min(high) AS high FROM (SELECT high FROM level WHERE high * w <= cap ORDER BY cap / w, source NULLS LAST LIMIT 1)),
+targets AS (SELECT source, source_size, least(cap, coalesce(w * high, cap))::DOUBLE AS target FROM weighted, chosen),
+split AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM targets),
+placed AS (
+  SELECT k.*, s.source_size, s.target, s.epochs, target - epochs * source_size AS budget,
+         sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM keys k JOIN split s ON s.source IS NOT DISTINCT FROM k.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+       (size * least(epochs + CASE WHEN 2 * upto - size <= 2 * budget THEN 1 ELSE 0 END, {mixing.MOST}))::BIGINT AS taken
+FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op10_warc": OP10_SQL}
+    return {
+        "op3_quality": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op7_secrets": OP7_SQL, "op9_mixing": OP9_SQL, "op10_warc": OP10_SQL,
+    }
