@@ -474,5 +474,67 @@ SELECT chunk_id, length(t) AS n, md5(t) AS text_md5 FROM merged""",
 }
 
 
+def tail_sql(text: str, size: int = 150) -> str:
+    window = f"right({text}, {size})"
+    cuts = " ".join(f"WHEN contains({window}, {q(c)}) THEN substr({window}, strpos({window}, {q(c)}) + {len(c)})" for c in (". ", "; ", ", ", " "))
+    return f"CASE WHEN length({text}) <= {size} THEN {text} {cuts} ELSE {window} END"
+
+
+# The folds as recursion: one step for each block or fragment of a run, all runs at once.
+SQL["chunk_pack"] = f"""
+WITH RECURSIVE {pages(False)},
+blocks AS (SELECT *, line_no // 7 AS run, row_number() OVER (PARTITION BY document_id, pdf_page, line_no // 7 ORDER BY line_no) AS i FROM lines),
+fold AS (
+  SELECT DISTINCT document_id, pdf_page, run, 0::BIGINT AS i, ''::VARCHAR AS joined, 0::BIGINT AS n, NULL::BIGINT AS anchor, NULL::BIGINT AS out_anchor, NULL::VARCHAR AS body FROM blocks
+  UNION ALL
+  SELECT document_id, pdf_page, run, i, CASE WHEN joined = '' THEN text WHEN NOT is_full THEN joined || ' ' || text WHEN carried = '' THEN text ELSE carried || ' ' || text END,
+         CASE WHEN is_full THEN length(carried) + length(text) + 1 ELSE n + length(text) + 1 END, CASE WHEN is_full THEN line_no ELSE coalesce(anchor, line_no) END,
+         CASE WHEN is_full THEN anchor END, CASE WHEN is_full THEN joined END
+  FROM (SELECT f.document_id, f.pdf_page, f.run, b.i, joined, n, anchor, text, line_no, joined <> '' AND n + length(text) > 900 AS is_full, {tail_sql("joined")} AS carried
+        FROM fold f JOIN blocks b ON b.document_id = f.document_id AND b.pdf_page = f.pdf_page AND b.run = f.run AND b.i = f.i + 1)),
+ended AS (SELECT * FROM fold QUALIFY i = max(i) OVER (PARTITION BY document_id, pdf_page, run)),
+packed AS (
+  SELECT document_id, pdf_page, out_anchor AS anchor, trim(body) AS body FROM fold WHERE body IS NOT NULL
+  UNION ALL SELECT document_id, pdf_page, anchor, trim(joined) FROM ended)
+SELECT document_id, pdf_page::INT AS pdf_page, (row_number() OVER (PARTITION BY document_id, pdf_page ORDER BY anchor) - 1)::INT AS chunk_no, anchor, body
+FROM packed WHERE length(body) >= 50"""
+
+FOLD_ROWS = f"""{BOXES},
+frags AS (SELECT document_id, 'f' || box_no AS text, x0, x0 + 40 AS x1, y0 / 20 AS y FROM boxes),
+seq AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY y, x0, x1, text) AS i FROM frags),
+row_fold AS (
+  SELECT document_id, i, 0::BIGINT AS row, y AS first, y, x0, x1, text FROM seq WHERE i = 1
+  UNION ALL
+  SELECT s.document_id, s.i, CASE WHEN abs(s.y - f.first) <= 3 THEN f.row ELSE f.row + 1 END, CASE WHEN abs(s.y - f.first) <= 3 THEN f.first ELSE s.y END, s.y, s.x0, s.x1, s.text
+  FROM row_fold f JOIN seq s ON s.document_id = f.document_id AND s.i = f.i + 1)"""
+SQL["header_rows"] = f"WITH RECURSIVE {FOLD_ROWS} SELECT document_id, row, string_agg(text, ' ' ORDER BY x0, i) AS row_text FROM row_fold GROUP BY 1, 2"
+SQL["header_columns"] = f"""
+WITH RECURSIVE {FOLD_ROWS},
+sized AS (SELECT *, count(*) OVER (PARTITION BY document_id, row) AS m FROM row_fold),
+kept AS (SELECT *, max(m) OVER (PARTITION BY document_id) AS widest, min(row) OVER (PARTITION BY document_id) AS top, max(row) OVER (PARTITION BY document_id) AS bottom FROM sized WHERE m >= 2),
+kept2 AS (SELECT *, max(CASE WHEN row = top THEN m END) OVER (PARTITION BY document_id) AS m_top FROM kept),
+body AS (
+  SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY row, x0, i) AS k FROM kept2 WHERE NOT (bottom > top AND row = top AND m_top < widest)),
+tops AS (SELECT document_id, text AS label, x0, x1 FROM kept2 WHERE bottom > top AND row = top AND m_top < widest),
+col_fold AS (
+  SELECT document_id, k, [[{{'x0': x0, 'x1': x1, 't': text}}]] AS cols FROM body WHERE k = 1
+  UNION ALL
+  SELECT document_id, k, CASE WHEN pos IS NULL OR pos = 0 THEN list_append(cols, [f]) ELSE list_concat(list_concat(cols[1:pos - 1], [list_append(cols[pos], f)]), cols[pos + 1:]) END
+  FROM (SELECT c.document_id, b.k, cols, {{'x0': b.x0, 'x1': b.x1, 't': b.text}} AS f,
+               list_position(list_transform(cols, lambda c: len(list_filter(c, lambda e: e.x0 < b.x1 AND b.x0 < e.x1)) > 0), true) AS pos
+        FROM col_fold c JOIN body b ON b.document_id = c.document_id AND b.k = c.k + 1)),
+done AS (SELECT document_id, unnest(cols) AS c FROM (SELECT * FROM col_fold QUALIFY k = max(k) OVER (PARTITION BY document_id))),
+leaves AS (
+  SELECT document_id, row_number() OVER () AS leaf, array_to_string(list_transform(c, lambda e: e.t), ' ') AS label,
+         list_min(list_transform(c, lambda e: e.x0)) AS x0, list_max(list_transform(c, lambda e: e.x1)) AS x1 FROM done),
+bounds AS (
+  SELECT *, (x1 + lead(x0) OVER w) / 2 AS high, row_number() OVER w AS i, count(*) OVER (PARTITION BY document_id) AS n FROM tops WINDOW w AS (PARTITION BY document_id ORDER BY x0, x1, label)),
+firsts AS (
+  SELECT l.leaf, any_value(l.document_id) AS document_id, any_value(l.label) AS label, any_value(l.x0) AS x0, any_value(l.x1) AS x1,
+         coalesce(min(b.i) FILTER (b.high IS NULL OR (l.x0 + l.x1) / 2 <= b.high), max(n)) AS i
+  FROM leaves l LEFT JOIN bounds b ON b.document_id = l.document_id GROUP BY l.leaf)
+SELECT f.document_id, f.label, f.x0, f.x1, b.label AS grp FROM firsts f LEFT JOIN bounds b ON b.document_id = f.document_id AND b.i = f.i"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
