@@ -36,12 +36,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     prints = base.select(F.xxhash64(norm).alias("print")).groupBy("print").agg(F.count(F.lit(1)).alias("n"))
-    total = prints.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    hot = (
-        prints.orderBy(F.desc("n"), "print").limit(HOT_SHARE)
-        .join(F.broadcast(total), F.col("n") * HOT_SHARE > F.col("total"))
-        .select("print", F.lit(True).alias("hot"))
-    )
+    prints = materialise(prints.where("n > 1"), "prints")
+    least = max(1, base.count() // HOT_SHARE)
+    hot = prints.where(F.col("n") > least).select("print", F.lit(True).alias("hot"))  # fewer than HOT_SHARE rows
     rows = base.select("doc_id", norm.alias("norm"), F.length(text).alias("len"), F.xxhash64(norm).alias("print"))
     rows = rows.join(F.broadcast(hot), "print", "left").withColumn("prefix", F.substring("norm", 1, PREFIX))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "len"), F.lit(SALTS))).otherwise(F.lit(0))
