@@ -81,25 +81,3 @@ def test_sketch_fills_every_coordinate_and_estimates_similarity():
         y = np.concatenate([x[:400], rng.integers(0, 2**63, 100, dtype=np.uint64)])
         hits.append((minhash.sketch(x) == minhash.sketch(y)).mean())
     assert abs(np.mean(hits) - 400 / 600) < 0.02
-
-
-def test_a_common_passage_yields_no_pairs_of_unlike_documents(spark):
-    rng = random.Random(11)
-    word = lambda: f"w{rng.randrange(9000)}"
-    passage = [word() for _ in range(60)]
-    rows = [(i, " ".join([word() for _ in range(40)] + passage)) for i in range(60)]
-    copies = [[*rows[0][1].split()] for _ in range(20)]
-    for i, c in enumerate(copies):
-        c[i] = word()
-        rows.append((500 + i, " ".join(c)))
-    texts = spark.createDataFrame(rows, "node long, text string")
-    buckets = minhash.rare_buckets(texts).collect()
-    shared = {}
-    for r in buckets:
-        shared.setdefault(r["bucket"], set()).add(r["node"])
-    together = {(a, b) for own in shared.values() for a in own for b in own if a < b}
-    sets = {i: shingles(t) for i, t in rows}
-    alike = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
-    assert alike <= together  # no link is lost
-    assert not any(a < 60 and b < 60 for a, b in together)
-    check(texts.withColumnRenamed("node", "doc_id"), rows)
