@@ -73,24 +73,25 @@ def shingle_set(text: str | None, hashes: WordHashes) -> np.ndarray:
 
 
 def sketch(items: np.ndarray, bins: int = BINS) -> np.ndarray:
-    """Fast similarity sketch of a non-empty set of 64-bit hashes."""
+    """Fast similarity sketch of a non-empty set of 64-bit hashes. Small sets take several rounds at once."""
     out = np.zeros(bins, _U)
     empty = np.ones(bins, bool)
-    for turn in range(2 * bins):
-        x = mix(items ^ mix(np.full(1, turn + 1, _U))[0])
-        if turn < bins:
-            # The high bits of the hash name the bin, so sorting puts the least value of each bin first.
-            x = np.sort(x)
-            at = ((x >> _U(32)) * _U(bins) >> _U(32)).astype(np.int64)
-            first = np.flatnonzero(np.diff(at, prepend=-1))
-            first = first[empty[at[first]]]
-            out[at[first]] = x[first]
-            empty[at[first]] = False
-        elif empty[turn - bins]:
-            out[turn - bins] = x.min()
-            empty[turn - bins] = False
+    step = max(1, 4 * bins // len(items))
+    for turn in range(0, bins, step):
+        turns = mix(np.arange(turn + 1, min(turn + step, bins) + 1, dtype=_U))
+        # The high bits of the hash name the bin, so in a sorted round the least value of each bin comes first.
+        x = np.sort(mix(items[None, :] ^ turns[:, None]), axis=1).ravel()[::-1]
+        at = ((x >> _U(32)) * _U(bins) >> _U(32)).astype(np.int64)
+        held, filled = np.zeros(bins, _U), np.zeros(bins, bool)
+        held[at] = x  # of repeated bins the last one stands: the earliest round, its least value
+        filled[at] = True
+        filled &= empty
+        out[filled] = held[filled]
+        empty &= ~filled
         if not empty.any():
-            break
+            return out
+    for i in np.flatnonzero(empty):
+        out[i] = mix(items ^ mix(np.full(1, bins + i + 1, _U))[0]).min()
     return out
 
 
