@@ -134,20 +134,27 @@ def star_pairs(grouped: DataFrame) -> DataFrame:
     return grouped.select(hub.alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
 
 
-def cross_pairs(grouped: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs of a bucket that are not yet in one component, a < b, distinct.
+def mixed_members(grouped: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, node, label, big, members) of buckets that hold several components.
 
-    Members of a bucket's largest component meet the members of its other components only, so a
-    bucket whose members are already linked yields no pair, however large it is.
+    ``big`` is the label of the bucket's largest component, ``members`` the size of the bucket.
     """
     at = grouped.select("bucket", "node").join(labels, "node", "left")
     at = at.withColumn("label", F.coalesce("label", "node"))
     counts = at.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = counts.groupBy("bucket").agg(
-        F.max_by("label", F.struct("n", "label")).alias("big"), F.count(F.lit(1)).alias("n_labels")
+        F.max_by("label", F.struct("n", "label")).alias("big"), F.count(F.lit(1)).alias("n_labels"), F.sum("n").alias("members")
     )
-    mixed = mixed.where("n_labels > 1").drop("n_labels")
-    at = at.join(mixed, "bucket")
+    return at.join(mixed.where("n_labels > 1").drop("n_labels"), "bucket").select("bucket", "node", "label", "big", "members")
+
+
+def cross_pairs(grouped: DataFrame, labels: DataFrame) -> DataFrame:
+    """Candidate pairs of a bucket that are not yet in one component, a < b, distinct.
+
+    Members of a bucket's largest component meet the members of its other components only, so a
+    bucket whose members are already linked yields no pair, however large it is.
+    """
+    at = mixed_members(grouped, labels)
     small = at.where("label <> big").select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"))
     other = at.select("bucket", F.col("node").alias("y"), F.col("label").alias("ly"))
     return (
@@ -192,14 +199,15 @@ def components(edges: DataFrame) -> DataFrame:
     return materialise(join_unique(labels, least, ["label"]).select("node", F.col("least").alias("label")), "components")
 
 
-def linked(grouped: DataFrame, verify) -> DataFrame:
+def linked(grouped: DataFrame, verify, rest=cross_pairs) -> DataFrame:
     """Components of all verified candidate pairs of ``grouped`` (see ``bucket_members``) as (node, label).
 
     First every member is held against its leaders; then, exactly for the buckets that stay
-    mixed, the pairs between different components. ``verify`` takes (a, b) pairs and keeps the links.
+    mixed, the pairs between different components that ``rest`` gives. ``verify`` takes (a, b) pairs
+    and keeps the links.
     """
     first = components(verify(star_pairs(grouped)))
-    pairs = materialise(cross_pairs(grouped, first), "pairs")
+    pairs = materialise(rest(grouped, first), "pairs")
     if pairs.isEmpty():
         return first
     found = verify(pairs)

@@ -7,6 +7,11 @@ more need a round or two. Bands of ``ROWS`` coordinates give candidate buckets;
 against each other on their full shingle sets. See ``common`` for how buckets become components
 without all pairs.
 
+A large bucket that its leaders have not joined is refined exactly. Shingles that at most ``RARE`` of
+such documents hold count as rare. Two documents without a common rare shingle share at most the
+smaller number of their other shingles, which rules most pairs out; documents with a common rare
+shingle are paired by it, at most ``RARE`` to a shingle.
+
 Documents with equal shingle sets are one node from the start. A null or wordless text has an empty
 set and is linked with nothing. A repeated row (same id, same text) gets the same result as the
 first; a null id never names a component that has another id.
@@ -22,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import bucket_members, discard, join_unique, linked, materialise, salts_for, small_batches
+from pagemill.llm.common import bucket_members, discard, join_unique, linked, materialise, mixed_members, salts_for, small_batches
 
 SHINGLE = 5
 PERCENT = 75
 ROWS, BANDS = 6, 40
 BINS = ROWS * BANDS
+#: Buckets of more members are refined by rare shingles, those that at most ``RARE`` of their documents hold.
+CROWD, RARE = 32, 32
 _U = np.uint64
 _POWERS = np.array([pow(0x9E3779B97F4A7C15 | 1, 2 * i + 1, 1 << 64) for i in range(SHINGLE)], _U)
 
@@ -143,6 +150,78 @@ def similar(left: np.ndarray, right: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(left) + len(right) - both)
 
 
+def _holder_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles with their nodes, RARE + 1 at most, gathered over about a million shingles at a time."""
+    hashes, items, nodes, held = WordHashes(), [], [], 0
+
+    def gathered() -> Iterator[pa.RecordBatch]:
+        h, v = np.concatenate(items), np.concatenate(nodes)
+        order = np.lexsort((v, h))
+        h, v = h[order], v[order]
+        fresh = np.append(True, (h[1:] != h[:-1]) | (v[1:] != v[:-1]))
+        h, v = h[fresh], v[fresh]
+        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        counts = np.diff(np.append(starts, len(h)))
+        v = v[np.arange(len(h)) - np.repeat(starts, counts) <= RARE]
+        offsets = np.append(0, np.cumsum(np.minimum(counts, RARE + 1)))
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v, pa.int64()))
+        whole = pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), lists], names=["shingle", "nodes"])
+        for at in range(0, whole.num_rows, 50_000):
+            yield whole.slice(at, 50_000)
+
+    for batch in batches:
+        for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            found = shingle_set(text, hashes)
+            items.append(found)
+            nodes.append(np.full(len(found), node, np.int64))
+            held += len(found)
+            if held >= 1_000_000:
+                yield from gathered()
+                items, nodes, held = [], [], 0
+    if held:
+        yield from gathered()
+
+
+def rare_shingles(texts: DataFrame) -> DataFrame:
+    """(shingle, nodes): the shingles that at most RARE nodes of ``texts`` (node, text) hold, with all of these.
+
+    Nodes are gathered before the shuffle, so a shingle of all nodes sends one short row from each task.
+    """
+    spread = texts.select("node", "text").repartition(texts.sparkSession.sparkContext.defaultParallelism)
+    held = small_batches(spread).mapInArrow(_holder_batches, "shingle long, nodes array<bigint>")
+    nodes = F.array_sort(F.array_distinct(F.flatten(F.collect_list("nodes"))))
+    return held.groupBy("shingle").agg(nodes.alias("nodes")).where(F.size("nodes") <= RARE)
+
+
+def open_pairs(grouped: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of different components in one bucket that may still be links.
+
+    Left out are only pairs that can't be: with c the shingles of a document that are not rare, a pair
+    without a common rare shingle has an intersection of at most min(c), a union of at least the rest.
+    """
+    at = materialise(mixed_members(grouped, labels), "mixed")
+    crowd = at.where(F.col("members") > CROWD).select("node").distinct()
+    rare = materialise(rare_shingles(texts.join(crowd, "node")), "rare")
+    held = rare.select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("rare"))
+    at = at.join(sizes.join(held, "node", "left"), "node")
+    # Rare shingles are counted among the members of large buckets, so they say nothing about the others.
+    common = F.col("n") - F.when(F.col("members") > CROWD, F.coalesce("rare", F.lit(0))).otherwise(0)
+    at = materialise(at.withColumn("common", common), "open")
+    small = at.where("label <> big").select("bucket", "big", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "n", "common")])
+    other = at.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("node", "label", "n", "common")])
+    most = F.least("common_x", "common_y")
+    near = small.join(other, "bucket").where("label_x <> label_y and (label_y = big or node_x < node_y)")
+    near = near.where(100 * most >= PERCENT * (F.col("n_x") + F.col("n_y") - most))
+    near = near.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+
+    later = "transform(nodes, (v, i) -> transform(slice(nodes, i + 2, size(nodes)), w -> struct(v AS a, w AS b)))"
+    shared = rare.where(F.size("nodes") > 1).select(F.explode(F.flatten(F.expr(later))).alias("p")).select("p.*").distinct()
+    for end in ("a", "b"):
+        shared = shared.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
+    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+    return near.unionByName(shared.where(apart).select("a", "b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, text_hash, n_shingles, component_id, kept.
 
@@ -180,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         both = both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
         return materialise(small_batches(both).mapInArrow(_verify_batches, "a long, b long"), "links")
 
-    labels = linked(grouped, verify)
+    labels = linked(grouped, verify, lambda grouped, labels: open_pairs(grouped, labels, sizes, texts))
     discard(grouped, texts)
     named = nodes.select("node", "print", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialise(named, "named")

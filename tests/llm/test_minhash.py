@@ -62,6 +62,27 @@ def test_chains_and_hot_groups(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
 
 
+def test_a_crowd_that_its_leaders_leave_open(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(9000)}"
+    base, rows = [word() for _ in range(150)], []
+    for i in range(160):  # 0 to 10 changed words: near the base or not, alike or not among themselves
+        copy = list(base)
+        for k in rng.sample(range(150), rng.randrange(11)):
+            copy[k] = word()
+        rows.append((i, " ".join(copy)))
+        if i % 4 == 0:  # copies of a copy share its rare shingles
+            rows.append((500 + i, " ".join([*copy[:-1], word()])))
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
+    found = minhash.rare_shingles(spark.createDataFrame(rows + rows[:9], "node long, text string")).collect()
+    hashes, holders = minhash.WordHashes(), defaultdict(set)
+    for node, text in rows:
+        for h in minhash.shingle_set(text, hashes).view(np.int64).tolist():
+            holders[h].add(node)
+    want = {h: sorted(v) for h, v in holders.items() if len(v) <= minhash.RARE}
+    assert {r["shingle"]: r["nodes"] for r in found} == want and len(want) < len(holders)
+
+
 def test_keep_one_of_each_keeps_rows_as_they_were(wide):
     kept = minhash.keep_one_of_each(wide)
     flags = minhash.near_duplicates(wide).where("kept").collect()
