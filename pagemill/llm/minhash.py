@@ -246,16 +246,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     grouped = materialise(bucket_members(members, salts_for(nodes.count())), "buckets")
 
-    wanted = grouped.select("node").distinct().join(nodes.select("node", "rep"), "node")
-    wanted = wanted.select("node", F.col("rep.doc_id").alias("key"), F.col("rep.text_hash").alias("hash"))
+    wanted = grouped.select("node").distinct().join(nodes.select("node", "rep", "n"), "node")
+    wanted = wanted.select("node", "n", F.col("rep.doc_id").alias("key"), F.col("rep.text_hash").alias("hash"))
     texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("text_hash") == F.col("hash")))
-    texts = materialise(texts.select("node", "text"), "texts")
+    texts = materialise(texts.select("node", "n", "text"), "texts")
     sizes = nodes.select("node", "n")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-        sized = sized.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).select("a", "b")
-        both = sized.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
+        left, right = (texts.withColumnsRenamed({"node": end, "n": f"n_{end}", "text": f"text_{end}"}) for end in ("a", "b"))
+        both = pairs.join(right, "b").join(left, "a").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
         both = both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
         return materialise(small_batches(both).mapInArrow(_verify_batches, "a long, b long"), "links")
 
