@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import discard, join_unique, materialise, scratch_root, small_batches
+from pagemill.llm.common import discard, dropping_shuffles, join_unique, materialise, scratch_root, small_batches
 
 REVISIT_BYTES = 100
 #: Records (three to a capture) in one file, which a reader holds at once.
@@ -81,7 +81,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         _record("metadata", mid, [*common, concurrent, F.lit("Content-Type: application/warc-fields")], seen),
     )
     lines = rows.select(F.array_join(records, CRLF * 2).alias("value"))
-    lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", CAPTURES_PER_FILE).text(path)
+    with dropping_shuffles(pages.sparkSession):
+        lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", CAPTURES_PER_FILE).text(path)
     discard(staged, firsts)
 
 
