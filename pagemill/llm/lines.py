@@ -1,9 +1,10 @@
 """Fuzzy line dedup.
 
 Lines of ``MIN_WORDS`` words and more are normalised (A-Z lower-cased, digit runs to one zero,
-punctuation dropped, white space squeezed). Equal normalised lines are one node. Nodes get a
-128-bit SimHash of their pairs of neighbouring words; two lines that differ in at most three bits agree in one of four
-32-bit blocks, so the blocks are the candidate buckets. Candidates are verified by the edit
+punctuation dropped, white space squeezed). Equal normalised lines are one node. Candidate buckets
+are ``BANDS`` bands of MinHashes: ``WORD_MINS`` of the set of words and one of the pairs of
+neighbouring words, so a band is met with probability J(words)^3 * J(pairs); the README gives the
+recall. Candidates are verified by the edit
 similarity of the whole normalised lines (1 - Levenshtein distance / longer length, at least
 ``PERCENT`` %), and of every connected group one occurrence stays: that in the document with the
 smallest id, then the earliest line.
@@ -28,6 +29,8 @@ from pagemill.llm.common import bucket_members, discard, join_unique, linked, ma
 MIN_WORDS = 5
 PERCENT = 75
 BLOCKS = 4
+BANDS, WORD_MINS = 20, 3
+_FACTORS = np.random.default_rng(6).integers(1 << 62, 1 << 63, BANDS * (WORD_MINS + 1), np.uint64) | np.uint64(1)
 _ZEROS = re.compile(rb"00+")
 _FOLD = bytes(b"0"[0] if chr(b).isdigit() and b < 128 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _DROP = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -74,7 +77,7 @@ def pair_prints(words: list[bytes], hashes: WordHashes) -> np.ndarray:
 def simhashes(lines: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
     """SimHash of each line (two words or more) over its pairs of words, as rows of four 32-bit blocks.
 
-    Pairs tell lines apart that share no more than the frequent words of a language.
+    No longer used for candidates, as alike lines seldom share a block; kept for comparison.
     """
     out = np.empty((len(lines), BLOCKS), np.uint32)
     begin = 0
@@ -102,6 +105,32 @@ def simhashes(lines: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
     return out
 
 
+def line_bands(lines: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
+    """``BANDS`` 32-bit keys for each line (one word or more)."""
+    out = np.empty((len(lines), BANDS), np.uint32)
+    begin = 0
+    while begin < len(lines):  # some 20,000 words at a time
+        end, n = begin, 0
+        while end < len(lines) and (end == begin or n + len(lines[end]) <= 20_000):
+            n += len(lines[end])
+            end += 1
+        part = lines[begin:end]
+        x = np.fromiter((hashes[w] for words in part for w in words), np.uint64, n)
+        lengths = np.fromiter(map(len, part), np.int64, len(part))
+        starts = np.cumsum(lengths) - lengths
+        after = np.append(x[1:], np.uint64(0))
+        after[starts + lengths - 1] = 0  # the last word of a line is paired with its end
+        pairs = mix(mix(x) * np.uint64(3) + after)
+        for band in range(BANDS):
+            key = np.full(len(part), band, np.uint64)
+            for i in range(WORD_MINS + 1):
+                values = (x if i < WORD_MINS else pairs) * _FACTORS[band * (WORD_MINS + 1) + i]
+                key = mix(key + np.minimum.reduceat(values, starts)) * np.uint64(0x9E3779B97F4A7C15)
+            out[begin:end, band] = key >> np.uint64(32)
+        begin = end
+    return out
+
+
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
@@ -115,11 +144,12 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     words.append(w)
         ids = pa.array(row, pa.int64())
         nodes = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-        blocks = simhashes(words, hashes).view(np.int32)
+        bands = pa.array(line_bands(words, hashes).view(np.int32).ravel())
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS), pa.int32()), bands)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(ids), batch.column("text_hash").take(ids), pa.array(number, pa.int32()), pa.array(nodes, pa.binary())]
-            + [pa.array(blocks[:, i]) for i in range(BLOCKS)],
-            names=["doc_id", "text_hash", "line", "node", *[f"b{i}" for i in range(BLOCKS)]],
+            + [pa.array([len(b" ".join(w).decode("utf-8", "replace")) for w in words], pa.int32()), bands],
+            names=["doc_id", "text_hash", "line", "node", "size", "bands"],
         )
 
 
@@ -166,10 +196,22 @@ def alike(a: str, b: str) -> bool:
     return distance_at_most(a, b, (100 - PERCENT) * longer // 100)
 
 
+def bigrams(text: str) -> np.ndarray:
+    """Counts of the pairs of neighbouring characters, hashed to 512 places."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.bincount((x[:-1] * np.uint32(0x9E3779B1) + x[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(23), minlength=512)
+
+
+def may_be_alike(a: str, b: str) -> bool:
+    """Rules out only pairs that aren't alike: one edit changes at most four of the counts by one."""
+    longer = max(len(a), len(b))
+    return int(np.abs(bigrams(a) - bigrams(b)).sum()) <= 4 * ((100 - PERCENT) * longer // 100)
+
+
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-        keep = [i for i in range(len(a)) if alike(x[i], y[i])]
+        keep = [i for i in range(len(a)) if may_be_alike(x[i], y[i]) and alike(x[i], y[i])]
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
 
 
@@ -189,16 +231,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The lines to remove: (doc_id, text_hash, line), line counted from 0, one row for each."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     id_type = dict(base.dtypes)["doc_id"]
-    schema = f"doc_id {id_type}, text_hash long, line int, node binary, " + ", ".join(f"b{i} int" for i in range(BLOCKS))
+    schema = f"doc_id {id_type}, text_hash long, line int, node binary, size int, bands array<int>"
     lines = materialise(small_batches(base).mapInArrow(_line_batches, schema), "lines")
 
     place = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_hash", "line")
     nodes = lines.groupBy("node").agg(
-        F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(BLOCKS)]
+        F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")
     )
     nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
-    blocks = F.array(*[F.xxhash64(F.lit(i), F.col(f"b{i}")) for i in range(BLOCKS)])
-    members = nodes.select(F.col("id").alias("node"), F.explode(blocks).alias("bucket"))
+    members = nodes.select(F.col("id").alias("node"), F.posexplode("bands").alias("band", "key"))
+    members = members.select("node", F.xxhash64("band", "key").alias("bucket"))
     grouped = materialise(bucket_members(members, salts_for(nodes.count())), "line-buckets")
 
     wanted = nodes.join(grouped.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
@@ -208,7 +250,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("text_hash") == F.col("hash"))).select("text", "wanted")
     texts = materialise(small_batches(found).mapInArrow(_pick_batches, "node long, text string"), "line-texts")
 
+    sizes = nodes.select("id", "size")
+
     def verify(pairs: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            pairs = pairs.join(sizes.withColumnsRenamed({"id": end, "size": f"size_{end}"}), end)
+        pairs = pairs.where(100 * F.least("size_a", "size_b") >= PERCENT * F.greatest("size_a", "size_b")).select("a", "b")
         both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
         return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a long, b long"), "line-links")
 
