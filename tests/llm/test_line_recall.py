@@ -34,6 +34,19 @@ def test_bands_meet_planted_pairs(part, least):
     assert (x == y).any(axis=1).mean() >= least
 
 
+def test_removed_lines_against_all_pairs(spark):
+    one, _ = planted()
+    texts = [t for x, y, _ in one for t in (x, y)]
+    want = {
+        j for j in range(len(texts)) for i in range(j)
+        if abs(len(texts[i]) - len(texts[j])) <= 25 * max(len(texts[i]), len(texts[j])) // 100
+        and edit(texts[i], texts[j]) <= 25 * max(len(texts[i]), len(texts[j])) // 100
+    }
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("__removed > 0")
+    got = {r["doc_id"] for r in got.collect()}
+    assert got <= want and len(want) >= len(one) and len(got) >= 0.99 * len(want)
+
+
 def test_filter_before_verification_loses_nothing():
     rng = random.Random(5)
     for _ in range(400):
