@@ -4,8 +4,9 @@
   cluster names in ``spark.checkpoint.dir``; a lost executor never loses it.
 * ``join_unique`` joins rows to a table with one row per key without letting a hot
   key gather in one task.
-* ``bucket_members`` / ``star_pairs`` / ``cross_pairs`` / ``components`` turn candidate
+* ``bucket_members`` / ``star_pairs`` / ``open_pairs`` / ``components`` turn candidate
   buckets into connected groups without emitting all pairs of a bucket.
+* ``packed`` puts whole rows of any columns into one struct with names of its own.
 """
 
 from __future__ import annotations
@@ -13,17 +14,23 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Keys that a skew-safe join sends by broadcast; every other key holds at most 1/257 of the rows.
+#: Keys that a skew-safe join sends by broadcast at least; every other key holds at most 1/257 of the rows.
 HOT_KEYS = 256
+#: Members of a bucket that one task holds at most when the open part of a bucket is searched.
+PART = 2048
+#: Random members of a bucket that open members meet in one round, and how many meetings for each member of a
+#: bucket make a round worth its while.
+HUBS, MEETINGS = 4, 4
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -79,18 +86,48 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df`` as input of an Arrow pass.
+def hot_keys(spark: SparkSession) -> int:
+    """How many keys a skew-safe join broadcasts: HOT_KEYS, or one for each shuffle partition if there are more."""
+    return max(HOT_KEYS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    Bounds the rows of an Arrow batch, since one text may hold 100,000 characters and more, and lets
-    Python workers find this package where it isn't installed.
+
+#: Bytes that a Python pass handles at once; a row is never split.
+PIECE = 4 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to about PIECE bytes each."""
+    for batch in batches:
+        step = max(1, batch.num_rows * PIECE // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def arrow_pass(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` for rows that hold whole texts.
+
+    Spark bounds a batch by spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set), ``pieces`` by
+    PIECE; no setting of the session is changed. Python workers find this package where it isn't installed.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-    return df
+    return df.mapInArrow(lambda batches: run(pieces(batches)), schema)
+
+
+def quoted(name: str) -> str:
+    """A column name, dots and blanks included, as ``F.col`` takes it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct with fields c0, c1, ...: no name can clash."""
+    return F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+
+
+def unpacked(docs: DataFrame, row: str = "row", **instead: str) -> list[Column]:
+    """The columns of ``docs`` out of the struct ``row``; ``instead`` names another column for some of them."""
+    return [F.col(instead.get(c, f"{row}.c{i}")).alias(c) for i, c in enumerate(docs.columns)]
 
 
 def bytes_of(text: str) -> Column:
@@ -101,7 +138,7 @@ def bytes_of(text: str) -> Column:
 def join_unique(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame | None = None) -> DataFrame:
     """Left join of ``rows`` to ``table`` (at most one row per key) that stands hot keys.
 
-    The ``HOT_KEYS`` most frequent keys of ``rows`` (or those in ``hot``, as many at most) meet a
+    The ``hot_keys`` most frequent keys of ``rows`` (or those in ``hot``, as many at most) meet a
     broadcast table of at most that many rows; all other rows take an ordinary shuffle join. Rows
     with a null key find no partner.
     """
@@ -109,7 +146,7 @@ def join_unique(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFra
         hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1)
         for k in keys:
             hot = hot.where(F.col(k).isNotNull())
-        hot = materialise(hot.orderBy(F.desc("__n"), *keys).limit(HOT_KEYS).select(*keys), "hot-keys")
+        hot = materialise(hot.orderBy(F.desc("__n"), *keys).limit(hot_keys(rows.sparkSession)).select(*keys), "hot-keys")
     of_hot = hot.join(table.join(F.broadcast(hot), keys, "left_semi"), keys, "left")
     near = rows.join(F.broadcast(of_hot), keys, "inner")
     cold = rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys, "left")
@@ -130,7 +167,7 @@ def bucket_members(members: DataFrame, salts: int) -> DataFrame:
     """
     counts = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("top")).where("n > 1")
     multi = materialise(counts, "multi")
-    hot = multi.orderBy(F.desc("n"), "bucket").limit(HOT_KEYS).select("bucket")
+    hot = multi.orderBy(F.desc("n"), "bucket").limit(hot_keys(members.sparkSession)).select("bucket")
     kept = join_unique(members, multi.select("bucket", "top"), ["bucket"], hot).where("top is not null")
     salted = kept.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
     leaders = salted.groupBy("bucket", "salt").agg(F.min("node").alias("leader"))
@@ -157,21 +194,32 @@ def mixed_members(grouped: DataFrame, labels: DataFrame) -> DataFrame:
     return at.join(mixed.where("n_labels > 1").drop("n_labels"), "bucket").select("bucket", "node", "label", "big", "members")
 
 
-def cross_pairs(grouped: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs of a bucket that are not yet in one component, a < b, distinct.
+def open_pairs(at: DataFrame, may_link: Callable[[str, str], Column], turn: int | None = None) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of a bucket whose ends are not yet in one component, distinct.
 
-    Members of a bucket's largest component meet the members of its other components only, so a
-    bucket whose members are already linked yields no pair, however large it is.
+    ``at`` has the rows of ``mixed_members`` with what ``may_link`` needs of a node; ``may_link("x", "y")`` is a
+    condition on the structs x and y of two such rows that every link meets. It is part of the join, so what it
+    rules out is never a row. Members outside a bucket's largest component meet all others, ``PART`` of them in a
+    task, so a hot bucket is spread and one whose members are linked yields nothing. With a ``turn`` they
+    meet some ``HUBS`` random members of each bucket only.
     """
-    at = mixed_members(grouped, labels)
-    small = at.where("label <> big").select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"))
-    other = at.select("bucket", F.col("node").alias("y"), F.col("label").alias("ly"))
-    return (
-        small.join(other, "bucket")
-        .where("lx <> ly")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-    )
+    facts = F.struct(*[F.col(c) for c in at.columns if c not in ("bucket", "members")])
+    small = at.where("label <> big").select("bucket", "members", facts.alias("x"))
+    if turn is None:
+        parts = F.ceil(F.col("members") / PART).cast("int")
+        small = small.select("bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "x")
+        other = at.select("bucket", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), facts.alias("y"))
+        met = small.join(other, ["bucket", "part"])
+    else:
+        hub = F.pmod(F.xxhash64(F.lit(turn), "bucket", "node"), F.col("members")) < HUBS
+        met = small.join(at.where(hub).select("bucket", facts.alias("y")), "bucket")
+    apart = F.expr("x.label <> y.label and (y.label = y.big or x.node < y.node)" if turn is None else "x.label <> y.label")
+    return met.where(apart & may_link("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def bits_apart(x: str, y: str, words: int) -> Column:
+    """How many bits differ in the arrays ``bits`` of two structs."""
+    return sum((F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(words)), F.lit(0))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -179,7 +227,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Randomised contraction: in every round a vertex moves to the neighbour of least hash, edges
     are rewritten to the vertices that stay, and loops and repeats vanish. Each round is a table
-    in the shared folder. Nodes without an edge do not appear.
+    in the shared folder, deleted when the next stands. Nodes without an edge do not appear.
     """
     edges = materialise(edges.select("a", "b").where("a <> b").distinct(), "edges")
     ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
@@ -193,7 +241,7 @@ def components(edges: DataFrame) -> DataFrame:
             moved.select(F.col("a").alias("v"), F.least(F.col("m"), rank("a"))["v"].alias("to")), "moved"
         )
         to_a, to_b = moved.select(F.col("v").alias("a"), F.col("to").alias("ta")), moved.select(F.col("v").alias("b"), F.col("to").alias("tb"))
-        edges = materialise(
+        left = materialise(
             edges.join(to_a, "a")
             .join(to_b, "b")
             .where("ta <> tb")
@@ -201,24 +249,49 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct(),
             "edges",
         )
-        labels = join_unique(labels, moved.select(F.col("v").alias("label"), "to"), ["label"])
-        labels = materialise(labels.select("node", F.coalesce("to", "label").alias("label")), "labels")
+        renamed = join_unique(labels, moved.select(F.col("v").alias("label"), "to"), ["label"])
+        renamed = materialise(renamed.select("node", F.coalesce("to", "label").alias("label")), "labels")
+        discard(edges, labels, moved)
+        edges, labels = left, renamed
         turn += 1
     least = labels.groupBy("label").agg(F.min("node").alias("least"))
-    return materialise(join_unique(labels, least, ["label"]).select("node", F.col("least").alias("label")), "components")
+    out = materialise(join_unique(labels, least, ["label"]).select("node", F.col("least").alias("label")), "components")
+    discard(edges, labels)
+    return out
 
 
-def linked(grouped: DataFrame, verify, rest=cross_pairs) -> DataFrame:
+def linked(
+    grouped: DataFrame, verify: Callable[[DataFrame], DataFrame], about: DataFrame, meet: Callable[[DataFrame, int | None], DataFrame]
+) -> DataFrame:
     """Components of all verified candidate pairs of ``grouped`` (see ``bucket_members``) as (node, label).
 
-    First every member is held against its leaders; then, exactly for the buckets that stay
-    mixed, the pairs between different components that ``rest`` gives. ``verify`` takes (a, b) pairs
-    and keeps the links.
+    First every member is held against its leaders. While the buckets that stay mixed would take more than
+    ``MEETINGS`` meetings for each member, those outside the largest component of a bucket are held against a
+    few random members, as long as that still links one in a hundred of them; then all pairs of different
+    components in a bucket are, so no pair is left out. ``verify`` takes (a, b) pairs and returns a written
+    table of the links among them. ``meet(at, turn)`` gives the pairs, as ``open_pairs`` does, from the rows of
+    ``mixed_members`` with the columns that ``about`` has for their nodes.
     """
-    first = components(verify(star_pairs(grouped)))
-    pairs = materialise(rest(grouped, first), "pairs")
-    if pairs.isEmpty():
-        return first
-    found = verify(pairs)
-    tree = first.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
-    return components(tree.unionByName(found.select("a", "b")))
+    n_members = grouped.count()
+    found = verify(star_pairs(grouped))
+    labels = components(found)
+    turn, gain = 0, 1.0
+    while True:
+        discard(found)
+        at = materialise(mixed_members(grouped, labels).join(about, "node"), "mixed")
+        work = at.where("label <> big").agg(F.coalesce(F.sum("members"), F.lit(0)).alias("met"), F.count_distinct("node").alias("n")).first()
+        last = gain < 0.01 or work["met"] <= MEETINGS * n_members
+        pairs = materialise(meet(at, None if last else turn), "pairs")
+        found = verify(pairs)
+        n_found = found.count()
+        gain = n_found / max(work["n"], 1)
+        if n_found:
+            tree = labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
+            more = components(tree.unionByName(found))
+            discard(labels)
+            labels = more
+        discard(at, pairs)
+        if last:
+            discard(found)
+            return labels
+        turn += 1

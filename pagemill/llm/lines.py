@@ -2,15 +2,17 @@
 
 Lines of ``MIN_WORDS`` words and more are normalised (A-Z lower-cased, digit runs to one zero,
 punctuation dropped, white space squeezed). Equal normalised lines are one node. Candidate buckets
-are ``BANDS`` bands of MinHashes: ``WORD_MINS`` of the set of words and one of the pairs of
-neighbouring words, so a band is met with probability J(words)^3 * J(pairs); the README gives the
-recall. Candidates are verified by the edit
+are ``BANDS`` bands of MinHashes, ``WORD_MINS`` of the set of words and one of the pairs of
+neighbouring words, so a band is met with probability J(words)^3 * J(pairs). SimHash blocks were tried
+first and lose most links at this similarity; the README gives the recall of both.
+Candidates are verified by the edit
 similarity of the whole normalised lines (1 - Levenshtein distance / longer length, at least
 ``PERCENT`` %), and of every connected group one occurrence stays: that in the document with the
 smallest id, then the earliest line.
 
-Short and blank lines stay. Null texts stay null. A repeated row (same id, same text) is the same
-document and loses the same lines; a null id sorts last.
+Short and blank lines stay. Null and empty texts stay as they are; an empty table gives an empty result.
+A repeated row (same id, same text) is the same document and loses the same lines; a null id sorts last.
+Lines are taken whole, however long. Further columns may have any name.
 """
 
 from __future__ import annotations
@@ -21,15 +23,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import bucket_members, discard, join_unique, linked, materialise, salts_for, small_batches
+from pagemill.llm.common import arrow_pass, bits_apart, bucket_members, discard, join_unique, linked, materialise, open_pairs, quoted, salts_for
 
 MIN_WORDS = 5
 PERCENT = 75
-BLOCKS = 4
-BANDS, WORD_MINS = 20, 3
+BANDS, WORD_MINS = 8, 3
+#: Counts of character pairs kept for a line; their parities are the print of a line.
+BITS = 512
+#: Members of a bucket in a part of its own, when buckets are searched that leaders leave open.
+SEARCH = 256
 _FACTORS = np.random.default_rng(6).integers(1 << 62, 1 << 63, BANDS * (WORD_MINS + 1), np.uint64) | np.uint64(1)
 _ZEROS = re.compile(rb"00+")
 _FOLD = bytes(b"0"[0] if chr(b).isdigit() and b < 128 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -67,47 +72,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def pair_prints(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    """128-bit hashes, as two columns, of the pairs of neighbouring words."""
-    x = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    pairs = mix(x[:-1]) * np.uint64(3) + x[1:]
-    return np.stack([mix(pairs), mix(pairs + np.uint64(0x9E3779B97F4A7C15))], axis=1)
-
-
-def simhashes(lines: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
-    """SimHash of each line (two words or more) over its pairs of words, as rows of four 32-bit blocks.
-
-    No longer used for candidates, as alike lines seldom share a block; kept for comparison.
-    """
-    out = np.empty((len(lines), BLOCKS), np.uint32)
-    begin = 0
-    while begin < len(lines):  # some 50,000 words at a time
-        end, n = begin, 0
-        while end < len(lines) and (end == begin or n + len(lines[end]) <= 50_000):
-            n += len(lines[end])
-            end += 1
-        part = lines[begin:end]
-        prints = pair_prints([w for words in part for w in words], hashes)
-        lengths = np.fromiter(map(len, part), np.int64, len(part))
-        last = np.cumsum(lengths)[:-1] - 1
-        prints = np.delete(prints, last, axis=0)  # pairs of words of two lines
-        lengths -= 1
-        bits = np.unpackbits(prints.view(np.uint8), axis=1)
-        # Sums of up to 255 bits fit the bytes of a 64-bit word: add eight counters at once, then widen.
-        starts = np.cumsum(lengths) - lengths
-        pieces = -(-lengths // 255)
-        firsts = np.cumsum(pieces) - pieces
-        cuts = np.repeat(starts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(firsts, pieces))
-        sums = np.add.reduceat(bits.view(np.uint64), cuts, axis=0).view(np.uint8).astype(np.int32)
-        totals = np.add.reduceat(sums, firsts, axis=0)
-        out[begin:end] = np.packbits(2 * totals > lengths[:, None], axis=1).view(np.uint32)
-        begin = end
-    return out
-
-
 def line_bands(lines: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
-    """``BANDS`` 32-bit keys for each line (one word or more)."""
-    out = np.empty((len(lines), BANDS), np.uint32)
+    """``BANDS`` 64-bit keys for each line (one word or more)."""
+    out = np.empty((len(lines), BANDS), np.uint64)
     begin = 0
     while begin < len(lines):  # some 20,000 words at a time
         end, n = begin, 0
@@ -126,7 +93,7 @@ def line_bands(lines: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
             for i in range(WORD_MINS + 1):
                 values = (x if i < WORD_MINS else pairs) * _FACTORS[band * (WORD_MINS + 1) + i]
                 key = mix(key + np.minimum.reduceat(values, starts)) * np.uint64(0x9E3779B97F4A7C15)
-            out[begin:end, band] = key >> np.uint64(32)
+            out[begin:end, band] = key
         begin = end
     return out
 
@@ -143,12 +110,13 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     number.append(k)
                     words.append(w)
         ids = pa.array(row, pa.int64())
-        nodes = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-        bands = pa.array(line_bands(words, hashes).view(np.int32).ravel())
+        joined = [b" ".join(w) for w in words]
+        nodes = [xxhash.xxh3_128_digest(x) for x in joined]
+        bands = pa.array(line_bands(words, hashes).view(np.int64).ravel())
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS), pa.int32()), bands)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(ids), batch.column("text_hash").take(ids), pa.array(number, pa.int32()), pa.array(nodes, pa.binary())]
-            + [pa.array([len(b" ".join(w).decode("utf-8", "replace")) for w in words], pa.int32()), bands],
+            + [pa.array([len(x.decode("utf-8", "replace")) for x in joined], pa.int32()), bands],
             names=["doc_id", "text_hash", "line", "node", "size", "bands"],
         )
 
@@ -197,9 +165,9 @@ def alike(a: str, b: str) -> bool:
 
 
 def bigrams(text: str) -> np.ndarray:
-    """Counts of the pairs of neighbouring characters, hashed to 512 places."""
+    """Counts of the pairs of neighbouring characters, hashed to BITS places."""
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.bincount((x[:-1] * np.uint32(0x9E3779B1) + x[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(23), minlength=512)
+    return np.bincount((x[:-1] * np.uint32(0x9E3779B1) + x[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(33 - BITS.bit_length()), minlength=BITS)
 
 
 def may_be_alike(a: str, b: str) -> bool:
@@ -208,6 +176,90 @@ def may_be_alike(a: str, b: str) -> bool:
     return int(np.abs(bigrams(a) - bigrams(b)).sum()) <= 4 * ((100 - PERCENT) * longer // 100)
 
 
+def parities(text: str) -> np.ndarray:
+    """The parities of ``bigrams`` as 64-bit words."""
+    return np.packbits((bigrams(text) & 1).astype(np.uint8)).view(np.int64)
+
+
+def may_link(x: str, y: str) -> Column:
+    """Holds for all alike lines: lengths within PERCENT, and at most four parities turned by each edit."""
+    n, k = F.col(f"{x}.size"), F.col(f"{y}.size")
+    most = F.floor((100 - PERCENT) * F.greatest(n, k) / 100)
+    return (100 * F.least(n, k) >= PERCENT * F.greatest(n, k)) & (bits_apart(x, y, BITS // 64) <= 4 * most)
+
+
+def _links_of(group: pa.Table) -> list[tuple[int, int]]:
+    """Links between different components in one (part of a) bucket that join them, each in its first common bucket."""
+    column = lambda c: group.column(c).to_numpy()
+    node, label, size, part = column("node"), column("label"), column("size").astype(np.int64), column("part")
+    matrix = lambda c: group.column(c).combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    bits, bands, texts = matrix("bits").view(np.uint64), matrix("bands"), group.column("text")
+    bucket, big, crossed = group.column("bucket")[0].as_py(), group.column("big")[0].as_py(), column("low")[0] != column("high")[0]
+    now: dict[int, int] = {}  # labels joined by the links found here
+
+    def root(x: int) -> int:
+        while (y := now.get(x, x)) != x:
+            x = y
+        return x
+
+    out = []
+    for x in np.flatnonzero(label != big):
+        longer = np.maximum(size, size[x])
+        fits = (label != label[x]) & ((label == big) | (node > node[x])) & (100 * np.minimum(size, size[x]) >= PERCENT * longer)
+        if crossed:
+            fits &= part != part[x]
+        near = np.flatnonzero(fits)
+        apart = np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1)
+        near = near[apart <= 4 * ((100 - PERCENT) * longer[near] // 100)]
+        near = near[bands[x][(bands[near] == bands[x]).argmax(axis=1)] == bucket]
+        if len(near):
+            text = texts[x].as_py()
+            for y in near:
+                if root(label[x]) != root(label[y]) and alike(text, texts[y].as_py()):
+                    out.append((min(node[x], node[y]), max(node[x], node[y])))
+                    now[root(label[x])] = root(label[y])
+    return out
+
+
+def _search_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of groups of rows that stand together (bucket, low, high), one group in memory at a time."""
+
+    def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        links = _links_of(pa.Table.from_batches(parts))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    held, last = [], None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "low", "high")], axis=1).astype(np.int64)
+        starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+        for begin, end in zip(starts[:-1], starts[1:], strict=True):
+            key = tuple(keys[begin]) if end > begin else last
+            if key != last and held:
+                yield found(held)
+                held = []
+            last = key
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield found(held)
+
+
+def open_links(at: DataFrame) -> DataFrame:
+    """Links between different components of a bucket, as many as join what belongs together. Pairs never become rows.
+
+    Buckets are cut into parts of about SEARCH members, and any two parts meet in one group of rows. The work
+    is in the comparisons, not in the bytes, so the number of tasks is set.
+    """
+    tasks = 4 * at.sparkSession.sparkContext.defaultParallelism
+    parts = F.ceil(F.col("members") / SEARCH).cast("int")
+    rows = at.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select(
+        "bucket", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "node", "label", "big", "size", "bits", "bands", "text"
+    )
+    rows = rows.repartition(tasks, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    return arrow_pass(rows, _search_batches, "a long, b long").distinct()
+
+
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
@@ -216,50 +268,56 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _pick_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, normalised line) from (text, wanted: array of (line, node))."""
+    """(node, n, size, bits, bands, normalised line) from (text, wanted: array of (line, node, n, size))."""
+    hashes = WordHashes()
     for batch in batches:
-        nodes, lines = [], []
+        picked, words = [], []
         for text, wanted in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             split = fold(text).split(b"\n")
-            for w in wanted:
-                nodes.append(w["node"])
-                lines.append(b" ".join(split[w["line"]].split()).decode("utf-8", "replace"))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], names=["node", "text"])
+            picked += wanted
+            words += [split[w["line"]].split() for w in wanted]
+        lines = [b" ".join(w).decode("utf-8", "replace") for w in words]
+        numbers = [pa.array([w[c] for w in picked], t) for c, t in (("node", pa.int64()), ("n", pa.int64()), ("size", pa.int32()))]
+        bits = pa.array([parities(x) for x in lines], pa.list_(pa.int64()))
+        bands = pa.array(list(line_bands(words, hashes).view(np.int64)), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*numbers, bits, bands, pa.array(lines, pa.string())], names=["node", "n", "size", "bits", "bands", "text"])
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The lines to remove: (doc_id, text_hash, line), line counted from 0, one row for each."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    text = F.col(quoted(text_col))
+    base = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     id_type = dict(base.dtypes)["doc_id"]
-    schema = f"doc_id {id_type}, text_hash long, line int, node binary, size int, bands array<int>"
-    lines = materialise(small_batches(base).mapInArrow(_line_batches, schema), "lines")
+    schema = f"doc_id {id_type}, text_hash long, line int, node binary, size int, bands array<long>"
+    lines = materialise(arrow_pass(base, _line_batches, schema), "lines")
 
     place = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_hash", "line")
     nodes = lines.groupBy("node").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")
     )
     nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
-    members = nodes.select(F.col("id").alias("node"), F.posexplode("bands").alias("band", "key"))
-    members = members.select("node", F.xxhash64("band", "key").alias("bucket"))
+    members = nodes.select(F.col("id").alias("node"), F.explode("bands").alias("bucket"))
     grouped = materialise(bucket_members(members, salts_for(nodes.count())), "line-buckets")
 
     wanted = nodes.join(grouped.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     wanted = wanted.groupBy(F.col("first.doc_id").alias("key"), F.col("first.text_hash").alias("hash")).agg(
-        F.collect_list(F.struct(F.col("first.line").alias("line"), F.col("id").alias("node"))).alias("wanted")  # lines of one document
+        F.collect_list(F.struct(F.col("first.line").alias("line"), F.col("id").alias("node"), "n", "size")).alias("wanted")  # lines of one document
     )
     found = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("text_hash") == F.col("hash"))).select("text", "wanted")
-    texts = materialise(small_batches(found).mapInArrow(_pick_batches, "node long, text string"), "line-texts")
-
-    sizes = nodes.select("id", "size")
+    picked = arrow_pass(found, _pick_batches, "node long, n long, size int, bits array<long>, bands array<long>, text string")
+    picked = materialise(picked, "line-picked")
+    # A line that stands once stands in one row; others may come from several repeated rows, and one is enough.
+    several = picked.where("n > 1").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "bits", "bands", "text")])
+    texts = materialise(picked.where("n = 1").drop("n").unionByName(several), "line-texts")
+    discard(picked)
 
     def verify(pairs: DataFrame) -> DataFrame:
         for end in ("a", "b"):
-            pairs = pairs.join(sizes.withColumnsRenamed({"id": end, "size": f"size_{end}"}), end)
-        pairs = pairs.where(100 * F.least("size_a", "size_b") >= PERCENT * F.greatest("size_a", "size_b")).select("a", "b")
-        both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-        return materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a long, b long"), "line-links")
+            pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("text").alias(f"text_{end}")), end)
+        pairs = pairs.where(100 * F.least("size_a", "size_b") >= PERCENT * F.greatest("size_a", "size_b"))
+        return materialise(arrow_pass(pairs.select("a", "b", "text_a", "text_b"), _verify_batches, "a long, b long"), "line-links")
 
-    labels = linked(grouped, verify)
+    labels = linked(grouped, verify, texts, lambda at, turn: open_links(at) if turn is None else open_pairs(at, may_link, turn))
     discard(grouped, texts)
     # Only groups with more than one occurrence lose lines.
     named = nodes.select("id", "node", "n", "first").join(labels.withColumnsRenamed({"node": "id"}), "id", "left")
@@ -269,7 +327,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = chained.groupBy("label").agg(F.min("first").alias("keep"))
     chained = join_unique(chained, first, ["label"]).select("node", F.col("keep").alias("first"))
     keep = materialise(alone.unionByName(chained), "line-keep")
-    discard(nodes, named)
+    discard(nodes, named, labels)
     repeats = join_unique(lines.select("doc_id", "text_hash", "line", "node"), keep, ["node"]).where("first is not null")
     return repeats.where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_hash", "line")
 
@@ -286,20 +344,28 @@ def _strip_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "clean": pa.array(clean, pa.string()), "n_removed": counts})
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with the text less its repeated lines, and ``__removed``, how many went."""
+def _cleaned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, clean, n_removed): the other columns of ``docs`` in a struct, the text less its repeated lines."""
     gone = repeated_lines(docs, id_col, text_col)
     gone = gone.distinct().groupBy(F.col("doc_id").alias("key"), F.col("text_hash").alias("hash")).agg(F.collect_list("line").alias("gone"))
     gone = materialise(gone, "line-gone")
-    base = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    same = F.col(f"row.{id_col}").eqNullSafe(F.col("key")) & (F.xxhash64(F.col(f"row.{text_col}")) == F.col("hash"))
-    found = base.join(gone, same, "left").select("row", F.col(f"row.{text_col}").alias("text"), "gone")
-    out = small_batches(found).mapInArrow(_strip_batches, f"row {dict(found.dtypes)['row']}, clean string, n_removed long")
-    columns = [F.col("clean" if c == text_col else f"row.{c}").alias(c) for c in docs.columns]
-    return out.select(*columns, F.col("n_removed").alias("__removed"))
+    id_, text = F.col(quoted(id_col)), F.col(quoted(text_col))
+    others = F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col])
+    base = docs.select(others.alias("row"), text.alias("text"), id_.alias("id"), F.xxhash64(text).alias("text_hash"))
+    found = base.join(gone, F.col("id").eqNullSafe(F.col("key")) & (F.col("text_hash") == F.col("hash")), "left").select("row", "text", "gone")
+    return arrow_pass(found, _strip_batches, f"row {dict(found.dtypes)['row']}, clean string, n_removed long")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "__removed") -> DataFrame:
+    """All rows and columns of ``docs`` with the text less its repeated lines, and ``removed_col``, how many went.
+
+    A column of ``docs`` with that name is replaced.
+    """
+    names = {c: "clean" if c == text_col else f"row.c{i}" for i, c in enumerate(docs.columns) if c != removed_col}
+    return _cleaned(docs, id_col, text_col).select(*[F.col(at).alias(c) for c, at in names.items()], F.col("n_removed").alias(removed_col))
 
 
 def keep_clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without repeated lines; a document goes only if it loses lines and keeps no word."""
-    out = dedup_lines(docs, id_col, text_col)
-    return out.where((F.col("__removed") == 0) | F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    out = _cleaned(docs, id_col, text_col).where((F.col("n_removed") == 0) | F.col("clean").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.col("clean" if c == text_col else f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -7,10 +7,10 @@ more need a round or two. Bands of ``ROWS`` coordinates give candidate buckets;
 against each other on their full shingle sets. See ``common`` for how buckets become components
 without all pairs.
 
-A large bucket that its leaders have not joined is refined exactly. Shingles that at most ``RARE`` of
-such documents hold count as rare. Two documents without a common rare shingle share at most the
-smaller number of their other shingles, which rules most pairs out; documents with a common rare
-shingle are paired by it, at most ``RARE`` to a shingle.
+Buckets that the leaders leave open are searched exactly. Each set has a print of ``BITS`` parities (bit i:
+whether an odd number of its shingles hash to i), and a differing bit needs a shingle that only one
+of two sets holds. A link has at most a seventh of both sizes of those, so pairs whose prints differ in
+more bits are no links; they never become rows. What is left is held against each other in full.
 
 Documents with equal shingle sets are one node from the start. A null or wordless text has an empty
 set and is linked with nothing. A repeated row (same id, same text) gets the same result as the
@@ -24,17 +24,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import bucket_members, discard, join_unique, linked, materialise, mixed_members, salts_for, small_batches
+from pagemill.llm.common import arrow_pass, bits_apart, bucket_members, discard, join_unique, linked, materialise, open_pairs, packed, quoted, salts_for, unpacked
 
 SHINGLE = 5
 PERCENT = 75
 ROWS, BANDS = 6, 40
 BINS = ROWS * BANDS
-#: Buckets of more members are refined by rare shingles, those that at most ``RARE`` of their documents hold.
-CROWD, RARE = 32, 32
+#: Parities in the print of a set, a power of two.
+BITS = 512
 _U = np.uint64
 _POWERS = np.array([pow(0x9E3779B97F4A7C15 | 1, 2 * i + 1, 1 << 64) for i in range(SHINGLE)], _U)
 
@@ -109,18 +109,32 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return mix((rows * weights[None, :]).sum(axis=1, dtype=_U) + np.arange(BANDS, dtype=_U) * _U(0xA0761D6478BD642F))
 
 
+def parities(items: np.ndarray) -> np.ndarray:
+    """Print of a set of hashes: BITS parities as 64-bit words."""
+    odd = np.bincount((items >> _U(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_be_similar(x: str, y: str) -> Column:
+    """Holds for every link: sizes within PERCENT, and at most (1 - t) / (1 + t) of both sizes in bits that differ."""
+    n, k = F.col(f"{x}.n"), F.col(f"{y}.n")
+    near = 100 * F.least(n, k) >= PERCENT * F.greatest(n, k)
+    return near & ((100 + PERCENT) * bits_apart(x, y, BITS // 64) <= (100 - PERCENT) * (n + k))
+
+
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        counts, prints, bands = [], [], []
+        counts, prints, bands, bits = [], [], [], []
         for text in batch.column("text").to_pylist():
             items = shingle_set(text, hashes)
             counts.append(len(items))
             prints.append(xxhash.xxh3_128_digest(items.tobytes()) if len(items) else None)
             bands.append(band_keys(sketch(items)).view(np.int64) if len(items) else None)
+            bits.append(parities(items) if len(items) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            names=["doc_id", "text_hash", "n_shingles", "print", "bands"],
+            [batch.column("doc_id"), batch.column("text_hash"), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+            names=["doc_id", "text_hash", "n_shingles", "print", "bands", "bits"],
         )
 
 
@@ -150,87 +164,17 @@ def similar(left: np.ndarray, right: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(left) + len(right) - both)
 
 
-def _holder_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles with their nodes, RARE + 1 at most, gathered over about a million shingles at a time."""
-    hashes, items, nodes, held = WordHashes(), [], [], 0
-
-    def gathered() -> Iterator[pa.RecordBatch]:
-        h, v = np.concatenate(items), np.concatenate(nodes)
-        order = np.lexsort((v, h))
-        h, v = h[order], v[order]
-        fresh = np.append(True, (h[1:] != h[:-1]) | (v[1:] != v[:-1]))
-        h, v = h[fresh], v[fresh]
-        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        counts = np.diff(np.append(starts, len(h)))
-        v = v[np.arange(len(h)) - np.repeat(starts, counts) <= RARE]
-        offsets = np.append(0, np.cumsum(np.minimum(counts, RARE + 1)))
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v, pa.int64()))
-        whole = pa.RecordBatch.from_arrays([pa.array(h[starts].view(np.int64)), lists], names=["shingle", "nodes"])
-        for at in range(0, whole.num_rows, 50_000):
-            yield whole.slice(at, 50_000)
-
-    for batch in batches:
-        for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            found = shingle_set(text, hashes)
-            items.append(found)
-            nodes.append(np.full(len(found), node, np.int64))
-            held += len(found)
-            if held >= 1_000_000:
-                yield from gathered()
-                items, nodes, held = [], [], 0
-    if held:
-        yield from gathered()
-
-
-def rare_shingles(texts: DataFrame) -> DataFrame:
-    """(shingle, nodes): the shingles that at most RARE nodes of ``texts`` (node, text) hold, with all of these.
-
-    Nodes are gathered before the shuffle, so a shingle of all nodes sends one short row from each task.
-    """
-    spread = texts.select("node", "text").repartition(texts.sparkSession.sparkContext.defaultParallelism)
-    held = small_batches(spread).mapInArrow(_holder_batches, "shingle long, nodes array<bigint>")
-    nodes = F.array_sort(F.array_distinct(F.flatten(F.collect_list("nodes"))))
-    return held.groupBy("shingle").agg(nodes.alias("nodes")).where(F.size("nodes") <= RARE)
-
-
-def open_pairs(grouped: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different components in one bucket that may still be links.
-
-    Left out are only pairs that can't be: with c the shingles of a document that are not rare, a pair
-    without a common rare shingle has an intersection of at most min(c), a union of at least the rest.
-    """
-    at = materialise(mixed_members(grouped, labels), "mixed")
-    crowd = at.where(F.col("members") > CROWD).select("node").distinct()
-    rare = materialise(rare_shingles(texts.join(crowd, "node")), "rare")
-    held = rare.select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("rare"))
-    at = at.join(sizes.join(held, "node", "left"), "node")
-    # Rare shingles are counted among the members of large buckets, so they say nothing about the others.
-    common = F.col("n") - F.when(F.col("members") > CROWD, F.coalesce("rare", F.lit(0))).otherwise(0)
-    at = materialise(at.withColumn("common", common), "open")
-    small = at.where("label <> big").select("bucket", "big", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "n", "common")])
-    other = at.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("node", "label", "n", "common")])
-    most = F.least("common_x", "common_y")
-    near = small.join(other, "bucket").where("label_x <> label_y and (label_y = big or node_x < node_y)")
-    near = near.where(100 * most >= PERCENT * (F.col("n_x") + F.col("n_y") - most))
-    near = near.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
-
-    later = "transform(nodes, (v, i) -> transform(slice(nodes, i + 2, size(nodes)), w -> struct(v AS a, w AS b)))"
-    shared = rare.where(F.size("nodes") > 1).select(F.explode(F.flatten(F.expr(later))).alias("p")).select("p.*").distinct()
-    for end in ("a", "b"):
-        shared = shared.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
-    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
-    return near.unionByName(shared.where(apart).select("a", "b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id_col, text_hash, n_shingles, component_id, kept.
+    """One row per document: id_col, text_hash, n_shingles, component_id, kept, and ``first``, whether
+    the row's id and text are those of the first of its component (by id, null last, then hash of the text).
 
     ``component_id`` is the smallest id reachable over links, the document's own included.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    at, text = F.col(quoted(id_col)), F.col(quoted(text_col))
+    base = docs.select(at.alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     id_type = dict(base.dtypes)["doc_id"]
-    features = small_batches(base).mapInArrow(
-        _feature_batches, f"doc_id {id_type}, text_hash long, n_shingles long, print binary, bands array<bigint>"
+    features = arrow_pass(
+        base, _feature_batches, f"doc_id {id_type}, text_hash long, n_shingles long, print binary, bands array<bigint>, bits array<bigint>"
     )
     features = materialise(features, "features")
 
@@ -239,46 +183,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = (
         features.where("print is not null")
         .groupBy("print")
-        .agg(F.min(first).alias("rep"), F.min_by("bands", first).alias("bands"), F.first("n_shingles").alias("n"))
-        .withColumn("node", F.monotonically_increasing_id())
-    )
+        .agg(
+            F.min(first).alias("rep"), F.count(F.lit(1)).alias("rows"),
+            F.min_by(F.struct("bands", "bits", F.col("n_shingles").alias("n")), first).alias("of"),
+        )
+        .select("print", "rep", "rows", "of.*", F.monotonically_increasing_id().alias("node"))
+    )
     nodes = materialise(nodes, "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     grouped = materialise(bucket_members(members, salts_for(nodes.count())), "buckets")
 
-    wanted = grouped.select("node").distinct().join(nodes.select("node", "rep", "n"), "node")
-    wanted = wanted.select("node", "n", F.col("rep.doc_id").alias("key"), F.col("rep.text_hash").alias("hash"))
+    wanted = grouped.select("node").distinct().join(nodes.select("node", "n", "rep", "rows"), "node")
+    wanted = wanted.select("node", "n", "rows", F.col("rep.doc_id").alias("key"), F.col("rep.text_hash").alias("hash"))
     texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("text_hash") == F.col("hash")))
-    texts = materialise(texts.select("node", "n", "text"), "texts")
-    sizes = nodes.select("node", "n")
+    texts = texts.select("node", "n", "text", "rows")
+    # Only a set that several rows have may have several rows of one id and text: one of these is enough.
+    several = texts.where("rows > 1").groupBy("node", "n").agg(F.first("text").alias("text"))
+    texts = materialise(texts.where("rows = 1").drop("rows").unionByName(several), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = (texts.withColumnsRenamed({"node": end, "n": f"n_{end}", "text": f"text_{end}"}) for end in ("a", "b"))
         both = pairs.join(right, "b").join(left, "a").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
         both = both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-        return materialise(small_batches(both).mapInArrow(_verify_batches, "a long, b long"), "links")
+        return materialise(arrow_pass(both, _verify_batches, "a long, b long"), "links")
 
-    labels = linked(grouped, verify, lambda grouped, labels: open_pairs(grouped, labels, sizes, texts))
+    labels = linked(grouped, verify, nodes.select("node", "n", "bits"), lambda at, turn: open_pairs(at, may_be_similar, turn))
     discard(grouped, texts)
     named = nodes.select("node", "print", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialise(named, "named")
+    discard(nodes, labels)
     least = named.groupBy("label").agg(F.min("rep").alias("least"))
-    of_print = materialise(join_unique(named, least, ["label"]).select("print", F.col("least.doc_id").alias("component_id")), "of-print")
+    of_print = materialise(join_unique(named, least, ["label"]).select("print", "least"), "of-print")
+    discard(named)
     rows = features.select("doc_id", "text_hash", "n_shingles", "print")
     # A document without a set is a component of its own; its id stands in where no print does.
     full = join_unique(rows.where("print is not null"), of_print, ["print"])
-    bare = rows.where("print is null").withColumn("component_id", F.col("doc_id"))
+    bare = rows.where("print is null").withColumn("least", first)
     return full.unionByName(bare).select(
-        F.col("doc_id").alias(id_col), "text_hash", "n_shingles", "component_id",
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+        F.col("doc_id").alias(id_col), "text_hash", "n_shingles", F.col("least.doc_id").alias("component_id"),
+        F.col("doc_id").eqNullSafe(F.col("least.doc_id")).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))).alias("first"),
     )
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, all columns as they were."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(
-        F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")
-    ).distinct()
-    gone = materialise(gone, "gone")
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash"))
-    return docs.join(gone, same, "left_anti")
+    """One row of ``docs`` for each component, all columns as they were: that of the smallest id (null last),
+    then of the least hash of the text; of repeated rows one. Rows without a word are each a component of
+    their id, so of those with one id and text one stays too.
+    """
+    place = [F.col(quoted(id_col)).alias("id"), F.xxhash64(F.col(quoted(text_col))).alias("hash")]
+    found = near_duplicates(docs, id_col, text_col).select(F.col(quoted(id_col)).alias("id"), F.col("text_hash").alias("hash"), "first")
+    # What goes, and what several rows have; most rows are neither.
+    known = found.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("rows"), F.max("first").alias("first"))
+    known = materialise(known.where("rows > 1 or not first"), "gone")
+    rows = docs.select(packed(docs).alias("row"), *place)
+    same = rows["id"].eqNullSafe(known["id"]) & (rows["hash"] == known["hash"])
+    at = rows.join(known, same, "left").where(F.coalesce(known["first"], F.lit(True))).select("row", rows["id"], rows["hash"], "rows")
+    once = at.where("rows is null").select("row")
+    several = at.where("rows is not null").groupBy("id", "hash").agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(several).select(*unpacked(docs))

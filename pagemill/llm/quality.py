@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import join_unique, materialise, small_batches
+from pagemill.llm.common import arrow_pass, join_unique, materialise, packed, quoted, unpacked
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -76,9 +76,9 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def measured(docs: DataFrame, key_cols: dict[str, str], text_col: str = "text") -> DataFrame:
     """The measures of every row beside the columns in ``key_cols`` (name in docs to name in the result)."""
-    base = docs.select(*[F.col(c).alias(n) for c, n in key_cols.items()], F.col(text_col).alias("text"))
+    base = docs.select(*[F.col(quoted(c)).alias(n) for c, n in key_cols.items()], F.col(quoted(text_col)).alias("text"))
     schema = ", ".join([f"{n} {t}" for n, t in base.dtypes if n != "text"] + [f"{n} long" for n in NAMES])
-    return small_batches(base).mapInArrow(_measure_batches, schema)
+    return arrow_pass(base, _measure_batches, schema)
 
 
 def host_verdicts(rows: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source")
     """The rows of ``docs`` that the rules keep, all columns as they were."""
     base = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     types = dict(base.dtypes)
-    judged = small_batches(base).mapInArrow(_judge_batches, f"row {types['row']}, host {types['host']}, base_failed boolean")
+    judged = arrow_pass(base, _judge_batches, f"row {types['row']}, host {types['host']}, base_failed boolean")
     # What failed counts for its host; its text isn't needed again.
     judged = judged.withColumn("row", F.when(~F.col("base_failed"), F.col("row")))
     judged = materialise(judged, "judged")

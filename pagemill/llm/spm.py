@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import small_batches
+from pagemill.llm.common import arrow_pass
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -211,7 +211,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             counts = pa.array([None if x is None else len(x) for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32())), counts], names=["id", "ids", "n_tokens"])
 
-    out = small_batches(base).mapInArrow(run, f"id {dict(base.dtypes)['id']}, ids array<int>, n_tokens long")
+    out = arrow_pass(base, run, f"id {dict(base.dtypes)['id']}, ids array<int>, n_tokens long")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -225,7 +225,7 @@ def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id"
             texts = [None if x is None else model.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("ids"), pa.array(texts, pa.string())], names=["id", "ids", "text"])
 
-    out = small_batches(base).mapInArrow(run, f"id {dict(base.dtypes)['id']}, ids array<int>, text string")
+    out = arrow_pass(base, run, f"id {dict(base.dtypes)['id']}, ids array<int>, text string")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -246,5 +246,5 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
                 names=["id", "ids", "n_tokens", "round_trip"],
             )
 
-    out = small_batches(base).mapInArrow(run, f"id {dict(base.dtypes)['id']}, ids array<int>, n_tokens long, round_trip boolean")
+    out = arrow_pass(base, run, f"id {dict(base.dtypes)['id']}, ids array<int>, n_tokens long, round_trip boolean")
     return out.withColumnRenamed("id", id_col)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import discard, dropping_shuffles, join_unique, materialise, scratch_root, small_batches
+from pagemill.llm.common import arrow_pass, discard, dropping_shuffles, join_unique, materialise, scratch_root
 
 REVISIT_BYTES = 100
 #: Records (three to a capture) in one file, which a reader holds at once.
@@ -139,7 +139,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """All records of the WARC files under ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content")
-    return small_batches(files, 1).mapInArrow(_parse_batches, RECORD)  # a row is a whole file
+    return arrow_pass(files, _parse_batches, RECORD)  # a row is a whole file
 
 
 def assemble(records: DataFrame) -> DataFrame:

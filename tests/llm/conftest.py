@@ -4,7 +4,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside; a further column of the input may have any of them.
-CLASHES = ("node", "row", "name", "host", "size", "key", "text_hash", "label", "kept", "n", "id", "slice", "bands")
+CLASHES = ("node", "row", "name", "host", "size", "key", "text_hash", "__id", "__hash", "__removed", "__n", "clean", "rows", "first", "a.b", "label", "kept", "n", "id", "slice", "bands")
 
 
 def words(rng, n):

@@ -1,6 +1,8 @@
 import random
 
-from pagemill.llm.common import bucket_members, components, cross_pairs, join_unique, linked, star_pairs
+from pyspark.sql import functions as F
+
+from pagemill.llm.common import bucket_members, components, join_unique, linked, materialise, mixed_members, open_pairs, star_pairs
 
 
 def find(parent, x):
@@ -45,8 +47,19 @@ def test_linked_finds_links_that_leaders_miss(spark):
     members = [(1, i) for i in sets] + [(2, 70), (3, 5)]
     grouped = bucket_members(spark.createDataFrame(members, "bucket long, node long"), 16).cache()
     assert star_pairs(grouped).count() <= len(sets) + 16
-    verify = lambda pairs: spark.createDataFrame([(r["a"], r["b"]) for r in pairs.collect() if sets[r["a"]] == sets[r["b"]]], "a long, b long")
-    got = {r["node"]: r["label"] for r in linked(grouped, verify).collect()}
-    assert {i: got.get(i, i) for i in sets} == {i: (0, 40, 70)[sets[i]] for i in sets}
+    about = spark.createDataFrame(list(sets.items()), "node long, own int")
+    may = lambda x, y: F.col(f"{x}.own") == F.col(f"{y}.own")
+    plain = lambda x, y: F.lit(True)
+
+    def verify(pairs):
+        links = [(r["a"], r["b"]) for r in pairs.collect() if sets[r["a"]] == sets[r["b"]]]
+        return materialise(spark.createDataFrame(links, "a long, b long"), "links")
+
+    for test in (may, plain):
+        got = {r["node"]: r["label"] for r in linked(grouped, verify, about, lambda at, turn, test=test: open_pairs(at, test, turn)).collect()}
+        assert {i: got.get(i, i) for i in sets} == {i: (0, 40, 70)[sets[i]] for i in sets}
     labels = spark.createDataFrame([(i, 0) for i in range(70)], "node long, label long")
-    assert cross_pairs(grouped, labels).count() == 70  # only those with node 70
+    at = mixed_members(grouped, labels).join(about, "node")
+    assert open_pairs(at, plain).count() == 70  # only those with node 70
+    assert open_pairs(at, may).count() == 0
+    assert open_pairs(at, plain, 1).count() < 20  # with a few of the others

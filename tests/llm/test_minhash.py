@@ -74,20 +74,35 @@ def test_a_crowd_that_its_leaders_leave_open(spark):
         if i % 4 == 0:  # copies of a copy share its rare shingles
             rows.append((500 + i, " ".join([*copy[:-1], word()])))
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
-    found = minhash.rare_shingles(spark.createDataFrame(rows + rows[:9], "node long, text string")).collect()
-    hashes, holders = minhash.WordHashes(), defaultdict(set)
-    for node, text in rows:
-        for h in minhash.shingle_set(text, hashes).view(np.int64).tolist():
-            holders[h].add(node)
-    want = {h: sorted(v) for h, v in holders.items() if len(v) <= minhash.RARE}
-    assert {r["shingle"]: r["nodes"] for r in found} == want and len(want) < len(holders)
-
-
-def test_keep_one_of_each_keeps_rows_as_they_were(wide):
-    kept = minhash.keep_one_of_each(wide)
-    flags = minhash.near_duplicates(wide).where("kept").collect()
-    assert kept.columns == wide.columns
-    assert sorted(repr(r["doc_id"]) for r in kept.collect()) == sorted(repr(r["doc_id"]) for r in flags)
+
+
+def test_print_passes_every_link(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        x = np.unique(rng.integers(0, 2**63, rng.integers(1, 900), dtype=np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate([x[: len(x) - rng.integers(0, len(x) // 3 + 1)], rng.integers(0, 2**63, rng.integers(0, len(x) // 4 + 1), dtype=np.uint64)]))
+        side = lambda s: (len(s), minhash.parities(s).tolist())
+        rows.append((i, bool(len(y)) and minhash.similar(x, y), side(x), side(y)))
+    df = spark.createDataFrame(rows, "i long, link boolean, x struct<n:long,bits:array<long>>, y struct<n:long,bits:array<long>>")
+    got = df.select("link", minhash.may_be_similar("x", "y").alias("may")).collect()
+    assert all(r["may"] for r in got if r["link"]) and sum(r["link"] for r in got) > 50
+    assert sum(not r["may"] for r in got) > 50
+
+
+def test_keep_one_of_each_keeps_one_row_as_it_was(spark, wide, rows):
+    out = minhash.keep_one_of_each(wide)
+    kept = out.collect()
+    assert out.columns == wide.columns
+    own = {repr(r[:5]) for r in rows}
+    assert all(repr(tuple(r)[:5]) in own for r in kept)
+    flags = minhash.near_duplicates(wide).where("first").select("doc_id", "text_hash").distinct().collect()
+    assert sorted(repr(r["doc_id"]) for r in kept) == sorted(repr(r["doc_id"]) for r in flags)
+    # Of repeated rows, of near copies under one id and of copies without any id, one stays.
+    text = " ".join(f"w{i}" for i in range(60))
+    odd = [(1, text), (1, text), (1, text + " x"), (2, text), (None, text.replace("w", "v")), (None, text.replace("w", "v") + " y"), (3, None), (4, "")]
+    got = minhash.keep_one_of_each(spark.createDataFrame(odd, "`a.b` long, `my text` string"), "a.b", "my text").collect()
+    assert sorted(repr(r["a.b"]) for r in got) == ["1", "3", "4", "None"]
 
 
 def test_sketch_fills_every_coordinate_and_estimates_similarity():
