@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ PERCENT = 75
 BANDS, WORD_MINS = 8, 3
 #: Counts of character pairs kept for a line; their parities are the print of a line.
 BITS = 512
-#: Members of a bucket in a part of its own, when buckets are searched that leaders leave open.
-SEARCH = 256
+#: Open buckets of more members are searched in parts of so many; pairs of smaller ones are joined, so that a
+#: member has at most CROWD pairs in a bucket.
+CROWD, SEARCH = 64, 256
 _FACTORS = np.random.default_rng(6).integers(1 << 62, 1 << 63, BANDS * (WORD_MINS + 1), np.uint64) | np.uint64(1)
 _ZEROS = re.compile(rb"00+")
 _FOLD = bytes(b"0"[0] if chr(b).isdigit() and b < 128 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -82,7 +84,7 @@ def line_bands(lines: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
             n += len(lines[end])
             end += 1
         part = lines[begin:end]
-        x = np.fromiter((hashes[w] for words in part for w in words), np.uint64, n)
+        x = np.fromiter(map(hashes.__getitem__, chain.from_iterable(part)), np.uint64, n)
         lengths = np.fromiter(map(len, part), np.int64, len(part))
         starts = np.cumsum(lengths) - lengths
         after = np.append(x[1:], np.uint64(0))
@@ -188,12 +190,13 @@ def may_link(x: str, y: str) -> Column:
     return (100 * F.least(n, k) >= PERCENT * F.greatest(n, k)) & (bits_apart(x, y, BITS // 64) <= 4 * most)
 
 
-def _links_of(group: pa.Table) -> list[tuple[int, int]]:
+def _links_of(group: pa.Table, hashes: WordHashes) -> list[tuple[int, int]]:
     """Links between different components in one (part of a) bucket that join them, each in its first common bucket."""
     column = lambda c: group.column(c).to_numpy()
     node, label, size, part = column("node"), column("label"), column("size").astype(np.int64), column("part")
     matrix = lambda c: group.column(c).combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-    bits, bands, texts = matrix("bits").view(np.uint64), matrix("bands"), group.column("text")
+    bits, texts = matrix("bits").view(np.uint64), group.column("text")
+    bands = line_bands([t.encode().split() for t in texts.to_pylist()], hashes).view(np.int64)
     bucket, big, crossed = group.column("bucket")[0].as_py(), group.column("big")[0].as_py(), column("low")[0] != column("high")[0]
     now: dict[int, int] = {}  # labels joined by the links found here
 
@@ -225,10 +228,10 @@ def _search_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Links of groups of rows that stand together (bucket, low, high), one group in memory at a time."""
 
     def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        links = _links_of(pa.Table.from_batches(parts))
+        links = _links_of(pa.Table.from_batches(parts), hashes)
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    held, last = [], None
+    held, last, hashes = [], None, WordHashes()
     for batch in batches:
         keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "low", "high")], axis=1).astype(np.int64)
         starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
@@ -244,8 +247,9 @@ def _search_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def open_links(at: DataFrame) -> DataFrame:
-    """Links between different components of a bucket, as many as join what belongs together. Pairs never become rows.
+    """Links between different components of a crowded bucket, as many as join what belongs together.
 
+    Pairs never become rows, and a pair is looked at in its first common bucket only.
     Buckets are cut into parts of about SEARCH members, and any two parts meet in one group of rows. The work
     is in the comparisons, not in the bytes, so the number of tasks is set.
     """
@@ -254,7 +258,7 @@ def open_links(at: DataFrame) -> DataFrame:
     rows = at.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select(
-        "bucket", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "node", "label", "big", "size", "bits", "bands", "text"
+        "bucket", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "node", "label", "big", "size", "bits", "text"
     )
     rows = rows.repartition(tasks, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     return arrow_pass(rows, _search_batches, "a long, b long").distinct()
@@ -268,19 +272,16 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _pick_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, n, size, bits, bands, normalised line) from (text, wanted: array of (line, node, n, size))."""
-    hashes = WordHashes()
+    """(node, n, size, bits, normalised line) from (text, wanted: array of (line, node, n, size))."""
     for batch in batches:
-        picked, words = [], []
+        picked, lines = [], []
         for text, wanted in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             split = fold(text).split(b"\n")
             picked += wanted
-            words += [split[w["line"]].split() for w in wanted]
-        lines = [b" ".join(w).decode("utf-8", "replace") for w in words]
+            lines += [b" ".join(split[w["line"]].split()).decode("utf-8", "replace") for w in wanted]
         numbers = [pa.array([w[c] for w in picked], t) for c, t in (("node", pa.int64()), ("n", pa.int64()), ("size", pa.int32()))]
         bits = pa.array([parities(x) for x in lines], pa.list_(pa.int64()))
-        bands = pa.array(list(line_bands(words, hashes).view(np.int64)), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*numbers, bits, bands, pa.array(lines, pa.string())], names=["node", "n", "size", "bits", "bands", "text"])
+        yield pa.RecordBatch.from_arrays([*numbers, bits, pa.array(lines, pa.string())], names=["node", "n", "size", "bits", "text"])
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,10 +305,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.collect_list(F.struct(F.col("first.line").alias("line"), F.col("id").alias("node"), "n", "size")).alias("wanted")  # lines of one document
     )
     found = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("text_hash") == F.col("hash"))).select("text", "wanted")
-    picked = arrow_pass(found, _pick_batches, "node long, n long, size int, bits array<long>, bands array<long>, text string")
+    picked = arrow_pass(found, _pick_batches, "node long, n long, size int, bits array<long>, text string")
     picked = materialise(picked, "line-picked")
     # A line that stands once stands in one row; others may come from several repeated rows, and one is enough.
-    several = picked.where("n > 1").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "bits", "bands", "text")])
+    several = picked.where("n > 1").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "bits", "text")])
     texts = materialise(picked.where("n = 1").drop("n").unionByName(several), "line-texts")
     discard(picked)
 
@@ -317,7 +318,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pairs = pairs.where(100 * F.least("size_a", "size_b") >= PERCENT * F.greatest("size_a", "size_b"))
         return materialise(arrow_pass(pairs.select("a", "b", "text_a", "text_b"), _verify_batches, "a long, b long"), "line-links")
 
-    labels = linked(grouped, verify, texts, lambda at, turn: open_links(at) if turn is None else open_pairs(at, may_link, turn))
+    def meet(at: DataFrame, turn: int | None) -> DataFrame:
+        if turn is not None:
+            return open_pairs(at, may_link, turn)
+        crowded = F.col("members") > CROWD
+        return open_pairs(at.where(~crowded).drop("text"), may_link).unionByName(open_links(at.where(crowded))).distinct()
+
+    labels = linked(grouped, verify, texts, meet)
     discard(grouped, texts)
     # Only groups with more than one occurrence lose lines.
     named = nodes.select("id", "node", "n", "first").join(labels.withColumnsRenamed({"node": "id"}), "id", "left")
