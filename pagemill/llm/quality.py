@@ -2,14 +2,18 @@
 
 Every document is measured in one Arrow pass. Documents that fail a rule count against their host
 (the ``source`` column). The rate of failures of a host is shrunk with a beta prior fitted to all
-hosts by moments, and the verdict on a host is joined back to its documents.
+hosts by moments, and the verdict on a host is joined back to its documents. A host is rejected when its
+shrunk rate is ``LIMIT_DEVIATIONS`` standard deviations of the prior above its mean, but never at rates below
+``SURE_HOST_RATE`` (nearly all its documents are clean) and always above ``MAX_HOST_RATE``.
 
-Null text: no words, so the document fails. Null host: no evidence, so the host passes. Repeated
-rows count each; an empty table gives an empty result.
+Null text: no words, so the document fails. Null host: no evidence, so the host passes. Texts are measured
+whole, however long. Repeated rows count each; an empty table gives an empty result. Further columns may
+have any name.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +28,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A host is rejected when its shrunk rate of failing documents is above this.
-MAX_HOST_RATE = 0.5
+#: The limit on a host's shrunk rate of failing documents: prior mean plus so many deviations, within these bounds.
+LIMIT_DEVIATIONS, SURE_HOST_RATE, MAX_HOST_RATE = 3.0, 0.2, 0.5
 #: Weight of the prior, in documents, when all hosts fail alike and moments give no finite one.
 MAX_PRIOR = 10_000.0
 
@@ -96,7 +100,14 @@ def host_verdicts(rows: DataFrame) -> DataFrame:
     ).first()  # one row
     alpha, beta = beta_prior(m["mean"] or 0.0, m["spread"] or 0.0, m["inverse"] or 1.0)
     shrunk = (F.col("n_failed") + F.lit(alpha)) / (F.col("n_docs") + F.lit(alpha + beta))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_kept", F.col("host_rate") <= MAX_HOST_RATE)
+    return hosts.withColumn("host_rate", shrunk).withColumn("host_kept", F.col("host_rate") <= F.lit(host_limit(alpha, beta)))
+
+
+def host_limit(alpha: float, beta: float) -> float:
+    """The greatest shrunk rate at which a host is kept."""
+    weight = alpha + beta
+    deviation = math.sqrt(alpha * beta / (weight + 1)) / weight
+    return min(MAX_HOST_RATE, max(SURE_HOST_RATE, alpha / weight + LIMIT_DEVIATIONS * deviation))
 
 
 def beta_prior(mean: float, spread: float, inverse: float) -> tuple[float, float]:
@@ -134,7 +145,7 @@ def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they were."""
-    base = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    base = docs.select(packed(docs).alias("row"), F.col(quoted(host_col)).alias("host"), F.col(quoted(text_col)).alias("text"))
     types = dict(base.dtypes)
     judged = arrow_pass(base, _judge_batches, f"row {types['row']}, host {types['host']}, base_failed boolean")
     # What failed counts for its host; its text isn't needed again.
@@ -145,4 +156,4 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source")
     if not bad.isEmpty():
         named = join_unique(good.where("host is not null"), bad, ["host"]).where("bad is null").drop("bad")
         good = named.unionByName(good.where("host is null"))
-    return good.select("row.*")
+    return good.select(*unpacked(docs))

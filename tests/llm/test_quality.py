@@ -50,6 +50,16 @@ def test_bad_host_goes_and_small_host_is_shrunk(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_limit_follows_the_hosts(spark):
+    good = " ".join(f"w{i}" for i in range(40))
+    # Twenty hosts that fail now and then, and one that fails in two of five: below MAX_HOST_RATE, far from the others.
+    rows = [(1000 * h + i, "short" if i % 20 == 0 else good, f"h{h}") for h in range(20) for i in range(100)]
+    rows += [(50_000 + i, "short" if i % 5 < 2 else good, "worse") for i in range(100)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    lost = {r["host"] for r in got if not r["kept"] and not r["base_failed"]}
+    assert lost == {"worse"} and all(r["host_rate"] < quality.MAX_HOST_RATE for r in got)
+
+
 def test_beta_prior_stays_in_bounds():
     for args in ((0.0, 0.0, 1.0), (0.5, 0.25, 0.1), (0.1, 0.0, 0.01), (1.0, 0.0, 1.0)):
         a, b = quality.beta_prior(*args)
