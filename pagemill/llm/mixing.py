@@ -7,9 +7,11 @@ target; of the rest, documents in the order of exponential keys -ln(u) / quality
 until the words reach the remaining budget (the document at the border is taken if that comes
 nearer). ``u`` is a hash of id and text, so reruns agree.
 
-Prefix sums are taken within slices of the key range of a source, with the sums of the slices
-before added, so a source with a third of all rows needs no task that holds it. Null or wordless
-texts have size 0 and are never taken. Repeated rows share their key and are taken one by one.
+Prefix sums are taken within slices, with the sums of the slices before added. The slices come from a range
+partitioning of (source, key) by sampled splitters, so they hold about ``SLICE_ROWS`` rows each whatever
+the weights, and a source with a third of all rows needs no task that holds it. Null or wordless
+texts have size 0 and are never taken. Texts are counted whole. Repeated rows share their key and are taken
+one by one. An empty table gives an empty result; further columns may have any name.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WORD, materialise
+from pagemill.llm.common import WORD, materialise, packed, quoted, unpacked
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-SLICES = 1024
+SLICE_ROWS = 50_000
 
 
 def words_in(text: Column) -> Column:
@@ -85,10 +87,10 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: id_col, text_hash, size, source_size, target, taken."""
-    text = F.col(text_col)
-    key = -F.log(unit_hash(F.col(id_col), text)) / quality_weight(text)
+    text, id_ = F.col(quoted(text_col)), F.col(quoted(id_col))
+    key = -F.log(unit_hash(id_, text)) / quality_weight(text)
     rows = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(source_col).alias("source"), words_in(text).alias("size"), key.alias("key")
+        id_.alias("id"), F.xxhash64(text).alias("text_hash"), F.col(quoted(source_col)).alias("source"), words_in(text).alias("size"), key.alias("key")
     )
     rows = materialise(rows, "keys")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -96,8 +98,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # The null source stands under a name of its own, so that it joins and hashes like any other.
     named = lambda df: df.withColumn("named", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    slice_ = F.least(F.floor((1 - F.exp(-F.col("key"))) * SLICES), F.lit(SLICES - 1)).cast("int")
-    rows = named(rows).withColumn("slice", slice_)
+    slices = max(16, rows.count() // SLICE_ROWS)
+    rows = named(rows).repartitionByRange(slices, "named", "key").withColumn("slice", F.spark_partition_id())
+    rows = materialise(rows, "slices")
     sums = rows.groupBy("named", "slice").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("named").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("named", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
@@ -115,12 +118,12 @@ def keep_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """The rows of ``docs`` as often as the mix takes them, all columns as they were."""
     name = lambda id_, print_: F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("")), print_.cast("string"))
     picks = mix_sources(docs, id_col, text_col, source_col).where("taken > 0")
-    picks = picks.select(name(F.col(id_col), F.col("text_hash")).alias("name"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    picks = picks.select(name(F.col(quoted(id_col)), F.col("text_hash")).alias("name"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
     # Repeated rows share a name; as many of them stay as were taken, shared out evenly.
     picks = picks.groupBy("name").agg(F.sum("times").alias("times"))
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), name(F.col(id_col), F.xxhash64(F.col(text_col))).alias("name"))
+    rows = docs.select(packed(docs).alias("row"), name(F.col(quoted(id_col)), F.xxhash64(F.col(quoted(text_col)))).alias("name"))
     rows = rows.join(picks, "name")
     alike = Window.partitionBy("name")
     rows = rows.withColumn("n", F.count(F.lit(1)).over(alike)).withColumn("k", F.row_number().over(alike.orderBy("times")))
     times = F.floor(F.col("times") / F.col("n")) + (F.col("k") <= F.col("times") % F.col("n")).cast("long")
-    return rows.where(times > 0).select("row", F.explode(F.sequence(F.lit(1), times.cast("int")))).select("row.*")
+    return rows.where(times > 0).select("row", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*unpacked(docs))

@@ -57,12 +57,25 @@ def test_keep_mix_repeats_rows_as_taken(docs, wide):
 
 def test_heavier_quality_is_taken_first(spark):
     clean, noisy = "word " * 20, "1$3% " * 20
-    rows = [(i, clean + f"c{i}" if i % 2 else noisy + f"n{i}", "a") for i in range(1000)] + [(5000, "word " * 90000, "b")]
+    rows = [(i, clean + f"c{i}" if i % 2 else noisy + f"n{i}", "a") for i in range(1000)] + [(5000, "word " * 1000, "b")]
     got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     taken = Counter()
     for r in got.where("doc_id < 5000").collect():
         taken[r["doc_id"] % 2] += r["taken"] > r["size"]
-    assert taken[1] >= taken[0]
+    assert taken[1] > taken[0] + 50
+
+
+def test_slices_are_even_and_do_not_change_the_result(spark, monkeypatch):
+    rows = [(i, ("1$3% " if i % 10 else "word ") * (1 + i % 7), "hot" if i % 3 else f"s{i % 5}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    whole = sorted(map(repr, mixing.mix_sources(df).collect()))
+    tables = {}
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 100)
+    keep = mixing.materialise
+    monkeypatch.setattr(mixing, "materialise", lambda frame, name: tables.update({name: keep(frame, name)}) or tables[name])
+    assert sorted(map(repr, mixing.mix_sources(df).collect())) == whole
+    counts = [r["count"] for r in tables["slices"].groupBy("slice").count().collect()]
+    assert len(counts) > 30 and max(counts) < 400
 
 
 @pytest.mark.parametrize("text", ["", None, "a b", "x" * 50])
