@@ -9,6 +9,9 @@ and metadata records are joined through the concurrent-to identifiers into one n
 capture. A capture without request or metadata has a null there; records that name an unknown
 response give no capture.
 
+Blanks and control characters of a URL are percent-encoded in the archive. Texts and payloads are whole,
+however long; an empty table gives archives without a record. Further columns may have any name.
+
 Payloads of at least ``REVISIT_BYTES`` bytes that equal that of a row with a smaller page id are
 revisits; of repeated rows one is the response and the others revisit it. A null payload is empty.
 """
@@ -16,6 +19,7 @@ revisits; of repeated rows one is the response and the others revisit it. A null
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import uuid
 from collections.abc import Iterator
@@ -24,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import arrow_pass, discard, dropping_shuffles, join_unique, materialise, scratch_root
+from pagemill.llm.common import PIECE, arrow_pass, discard, dropping_shuffles, join_unique, materialise, quoted, scratch_root
 
 REVISIT_BYTES = 100
-#: Records (three to a capture) in one file, which a reader holds at once.
-CAPTURES_PER_FILE = 2000
+#: Captures (of three records) in one file, which a reader holds at once: so many, or as many as have FILE_BYTES of payload
+#: on average if that is less.
+CAPTURES_PER_FILE, FILE_BYTES = 2000, 32 << 20
 CRLF = "\r\n"
 
 
@@ -45,11 +50,18 @@ def _uuid(*parts: Column) -> Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
+def _safe(url: Column) -> Column:
+    """A URL without line ends, blanks and other control characters, which would break the header it stands in."""
+    for code in range(33):
+        url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return url
+
+
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
     """Write one capture per row of ``pages`` under ``path``, which must be in a shared folder."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
+    html = F.coalesce(F.col(quoted(html_col)), F.lit(""))
     staged = pages.select(
-        F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), html.alias("html"),
+        F.col(quoted(id_col)).alias("page_id"), F.coalesce(F.col(quoted(url_col)), F.lit("")).alias("url"), html.alias("html"),
         F.octet_length(html).cast("long").alias("bytes"), F.sha2(html, 256).alias("digest"), F.expr("uuid()").alias("row"),
     )
     staged = materialise(staged, "pages")  # from here on the row names stand
@@ -61,13 +73,13 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = staged.join(revisits, "row", "left")
 
     date_line = F.lit(f"WARC-Date: {date}")
-    # A URL with a line end or a blank would break the header it stands in.
-    target = F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\x00-\x20]", "%20"))
+    url = F.when(F.col("url").rlike(r"[\x00-\x20]"), _safe(F.col("url"))).otherwise(F.col("url"))
+    target = F.concat(F.lit("WARC-Target-URI: "), url)
     rid, qid, mid = F.col("row"), _uuid(F.lit("request"), F.col("row")), _uuid(F.lit("metadata"), F.col("row"))
     concurrent = F.concat(F.lit("WARC-Concurrent-To: <urn:uuid:"), rid, F.lit(">"))
     digest = F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
-    asked = F.concat(F.lit("GET "), F.regexp_replace("url", r"[\x00-\x20]", "%20"), F.lit(f" HTTP/1.1{CRLF * 2}"))
+    asked = F.concat(F.lit("GET "), url, F.lit(f" HTTP/1.1{CRLF * 2}"))
     seen = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))
     common = [date_line, target]
     http_type = lambda t: F.lit(f"Content-Type: application/http; msgtype={t}")
@@ -81,12 +93,17 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         _record("metadata", mid, [*common, concurrent, F.lit("Content-Type: application/warc-fields")], seen),
     )
     lines = rows.select(F.array_join(records, CRLF * 2).alias("value"))
+    mean = staged.agg(F.avg("bytes")).first()[0] or 1
+    per_file = max(1, min(CAPTURES_PER_FILE, int(FILE_BYTES / max(mean, 1))))
     with dropping_shuffles(pages.sparkSession):
-        lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", CAPTURES_PER_FILE).text(path)
+        lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
     discard(staged, firsts)
 
 
-RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, digest string, http string, payload binary, fields string"
+RECORD = (
+    "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, digest string, http string, "
+    "payload binary, payload_bytes long, payload_sha256 string, fields string"
+)
 
 
 def parse_records(raw: bytes) -> Iterator[dict]:
@@ -117,29 +134,34 @@ def parse_records(raw: bytes) -> Iterator[dict]:
             "record_id": bare("warc-record-id"), "type": headers.get("warc-type"), "concurrent_to": bare("warc-concurrent-to"),
             "refers_to": bare("warc-refers-to"), "target_uri": headers.get("warc-target-uri"), "date": headers.get("warc-date"),
             "digest": headers.get("warc-payload-digest"), "http": http, "payload": payload, "fields": fields,
+            "payload_bytes": None if payload is None else len(payload), "payload_sha256": None if payload is None else hashlib.sha256(payload).hexdigest(),
         }
 
 
-_ARROW = pa.schema([(n, pa.binary() if t == "binary" else pa.string()) for n, t in (x.split() for x in RECORD.split(", "))])
+_TYPES = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}
+_ARROW = pa.schema([(n, _TYPES[t]) for n, t in (x.split() for x in RECORD.split(", "))])
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for raw in batch.column("content"):
-            rows = []
-            for record in parse_records(raw.as_py()):
-                rows.append(record)
-                if len(rows) == 500:
-                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, _ARROW)
+def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """All records of the WARC files under ``path``; without ``payloads`` only their lengths and digests come along."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("content"):
+                rows, held = [], 0
+                for record in parse_records(raw.as_py()):
+                    if not payloads:
+                        record["payload"] = None
+                    rows.append(record)
+                    held += len(record["payload"] or b"")
+                    if len(rows) == 500 or held >= PIECE:
+                        yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the WARC files under ``path``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content")
-    return arrow_pass(files, _parse_batches, RECORD)  # a row is a whole file
+    return arrow_pass(files, run, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -150,12 +172,12 @@ def assemble(records: DataFrame) -> DataFrame:
     """
     said = F.regexp_extract("http", r"(?i)Content-Length:\x20*(\d+)", 1)
     is_revisit = F.col("type") == "revisit"
-    own = F.concat(F.lit("sha256:"), F.sha2("payload", 256))
+    own = F.concat(F.lit("sha256:"), F.col("payload_sha256"))
     responses = records.where(F.col("type").isin("response", "revisit")).select(
         F.col("record_id").alias("capture_id"), "target_uri", "date",
         F.struct(
             "type", "http", F.when(~is_revisit, F.col("payload")).alias("payload"),
-            F.when(is_revisit, F.nullif(said, F.lit("")).cast("long")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+            F.when(is_revisit, F.nullif(said, F.lit("")).cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
             F.when(is_revisit, F.col("digest")).otherwise(own).alias("digest"), "refers_to",
         ).alias("response"),
     )

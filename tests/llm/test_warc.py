@@ -41,7 +41,11 @@ def test_archives_are_valid_and_assemble(spark, tmp_path):
     assert Counter(r["type"] for r in records) == {"request": 11, "metadata": 11, "response": 7, "revisit": 4}
     ids = {r["record_id"] for r in records}
     assert len(ids) == 33 and all(r["refers_to"] in ids for r in records if r["type"] == "revisit")
+    assert {r["target_uri"] for r in records} >= {"http://b/%20y%0D%0Az", "http://a/x"}
+    thin = warc.assemble(warc.read_records(spark, str(tmp_path / "w"), payloads=False)).select("response.payload", "response.payload_bytes", "response.digest").collect()
+    assert all(r["payload"] is None for r in thin)
     captures = warc.assemble(warc.read_records(spark, str(tmp_path / "w"))).collect()
+    assert sorted((c["response"]["payload_bytes"], c["response"]["digest"]) for c in captures) == sorted((r["payload_bytes"], r["digest"]) for r in thin)
     assert len(captures) == 11 and all(c["request"] and c["metadata"] for c in captures)
     payloads = Counter(bytes(c["response"]["payload"]).decode() for c in captures if c["response"]["type"] == "response")
     assert payloads == Counter([LONG, "small", "small", "", "x" * 100, "z" * 300_000, "q" * 200])
