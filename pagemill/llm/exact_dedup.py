@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import materialise
+from pagemill.llm.common import materialise, quoted
 
 BLANKS = " \t\n\x0b\x0c\r"
 #: A text is hot when it holds more than one in HOT_SHARE of all rows; so there are fewer than HOT_SHARE hot texts.
@@ -33,7 +33,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     norm = F.translate(text, BLANKS, "")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
 
     prints = base.select(F.xxhash64(norm).alias("print")).groupBy("print").agg(F.count(F.lit(1)).alias("n"))
     prints = materialise(prints.where("n > 1"), "prints")

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import exact_dedup, lines, minhash, mixing, quality, secrets, sharding, spm, urls, warc
-from pagemill.llm.common import join_unique, materialise
+from pagemill.llm.common import discard, join_unique, materialise
 
 SHARDS = 40
-#: Hosts whose pages make up the block list of op5.
-LISTED_HOSTS = ("ads-track.example.org", "cheap-pills.example.com", "spam-farm.example.org")
+#: Labels of the hosts whose pages make up the block list of op5, under any domain.
+LISTED_FAMILIES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED = rf"(^|\.)({'|'.join(LISTED_FAMILIES)})\."
 
 
 def model_path() -> str:
@@ -53,14 +54,19 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:
-    """The block list of op5: all URLs on LISTED_HOSTS, with or without ``www.`` or ``m.``."""
-    host = F.regexp_replace(urls.host_of(F.col("url")), r"^(www\.|m\.)", "")
-    return pages.where(host.isin(*LISTED_HOSTS)).select("url")
+    """The block list of op5: the URLs on hosts with a label of LISTED_FAMILIES, in the form in which a list gives
+    them: with another scheme, ``www.``, capitals, a closing slash and a query."""
+    host = urls.host_of(F.col("url"))
+    name = urls.canonical(host, urls.path_of(F.col("url")))
+    bare, path = F.regexp_extract(name, "(?s)^[^/]*", 0), F.regexp_extract(name, "(?s)^[^/]*(.*)", 1)
+    shown = F.concat(F.lit("HTTP://WWW."), F.translate(bare, urls.LOWER, urls.UPPER), path, F.lit("/?from=list"))
+    return pages.where(host.rlike(LISTED)).select(shown.alias("url"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return urls.filter_urls(pages, listed_urls(pages))
+    listed = materialise(listed_urls(pages), "block-list")  # a table of its own, as a list is
+    return urls.filter_urls(pages, listed)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +97,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.scratch_archive(spark)
     warc.write_warc(table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read_records(spark, path))
+    # The archives are parsed once; what the digest columns need is written without the payloads.
+    records = materialise(warc.read_records(spark, path, payloads=False), "records")
+    captures = warc.assemble(records)
     page = F.nullif(F.regexp_extract("metadata.fields", r"page-id: (-?\d+)", 1), F.lit("")).cast("long")
     rows = captures.select(
         "capture_id", page.alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"),
@@ -99,6 +107,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("to"),
     )
     rows = materialise(rows, "captures")
+    discard(records)
     named = rows.where("record_type = 'response'").select(F.col("capture_id").alias("to"), F.col("page_id").alias("refers_to"))
     out = join_unique(rows.where("to is not null"), named, ["to"]).unionByName(rows.where("to is null"), allowMissingColumns=True)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -146,7 +155,7 @@ named AS (
   FROM p),
 listed AS (
   SELECT DISTINCT name FROM named
-  WHERE regexp_replace(host, '^(www\.|m\.)', '') IN {LISTED_HOSTS!r}),
+  WHERE regexp_matches(host, '{LISTED}')),
 rules(rule_host, rule_path, verdict) AS (VALUES {", ".join(map(str, urls.RULES))}),
 fits AS (
   SELECT DISTINCT n.host, n.path,
@@ -196,9 +205,12 @@ s AS (SELECT coalesce(avg(failed / n::DOUBLE), 0) AS mean, coalesce(var_pop(fail
 b AS (SELECT mean, (spread - mean * (1 - mean) * inverse) / greatest(1 - inverse, 1e-9) AS between_hosts FROM s),
 p AS (
   SELECT mean, least(greatest(CASE WHEN between_hosts <= 0 THEN {quality.MAX_PRIOR!r} ELSE mean * (1 - mean) / between_hosts - 1 END, 1e0), {quality.MAX_PRIOR!r}) AS weight FROM b),
-rates AS (SELECT source, (failed + mean * weight) / (n + weight) AS host_rate FROM h, p)
+rates AS (
+  SELECT source, (failed + mean * weight) / (n + weight) AS host_rate,
+         least({quality.MAX_HOST_RATE!r}, greatest({quality.SURE_HOST_RATE!r}, mean + {quality.LIMIT_DEVIATIONS!r} * sqrt(mean * (1 - mean) / (weight + 1)))) AS most
+  FROM h, p)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(host_rate <= {quality.MAX_HOST_RATE!r}, true) AS kept, f.source, round(host_rate, 6) AS host_rate
+       NOT base_failed AND coalesce(host_rate <= most, true) AS kept, f.source, round(host_rate, 6) AS host_rate
 FROM f LEFT JOIN rates ON rates.source = f.source
 """
 

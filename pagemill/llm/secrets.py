@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm.common import quoted
+
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
@@ -65,7 +67,7 @@ def _mixed(value: Column) -> Column:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col and ``spans``, an ordered array<struct<start,rank,end,kind,value>>."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
     assign = F.filter(_spans(text, ASSIGN, "assign", 1), lambda s: F.length(s["value"]) >= MIN_ASSIGNED)
     access = F.filter(_spans(text, ACCESS, "access"), lambda s: F.length(s["value"]) >= MIN_ACCESS)
     rows = rows.select("id", "text", assign.alias("assign"), access.alias("access"), _spans(text, HEX, "hex").alias("hex"))

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import bytes_of, join_unique, materialise
+from pagemill.llm.common import bytes_of, join_unique, materialise, quoted
 
 OVERHEAD = 16
 #: Units per shard into which the remaining bytes are cut; more make shards more even and the heap longer.
@@ -42,7 +42,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id",
     """One row per input row: id_col, size, text_crc32, shard, slot (gapless from 0 within a shard)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text")).select(
         "doc_id",
         (bytes_of("text") + OVERHEAD).alias("size"),
         F.crc32(F.encode(text, "utf-8")).cast("long").alias("text_crc32"),

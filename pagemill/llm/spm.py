@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import arrow_pass
+from pagemill.llm.common import arrow_pass, quoted
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -202,7 +202,7 @@ def load(path: str) -> SentencePiece:
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, ids, n_tokens. ``model_path`` is a file that every executor has."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
@@ -217,7 +217,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
 def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per row of ``encoded``: id_col, ids, text."""
-    base = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    base = encoded.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(ids_col)).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
@@ -231,7 +231,7 @@ def decode_documents(encoded: DataFrame, model_path: str, id_col: str = "doc_id"
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id_col, ids, n_tokens, round_trip (whether the ids decode to the text; null for a null text)."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)

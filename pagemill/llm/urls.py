@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import join_unique, materialise
+from pagemill.llm.common import join_unique, materialise, quoted
 
 #: (host, path, verdict)
 RULES = (
@@ -92,7 +92,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
     at = lambda df, c: df.select(host_of(F.col(c)).alias("host"), path_of(F.col(c)).alias("path"))
     name = canonical(F.col("host"), F.col("path"))
     wanted = at(listed, "url").where("host <> ''").select(name.alias("url"))
-    rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    rows = pages.select(F.col(quoted(id_col)).alias("id"), host_of(F.col(quoted(url_col))).alias("host"), path_of(F.col(quoted(url_col))).alias("path"))
     rows = rows.withColumn("url", F.when(F.col("host") != "", name)).withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
     rows = materialise(rows, "urls")
     hits = materialise(listed_hits(rows, wanted).withColumn("listed", F.lit(True)), "hits")

@@ -1,8 +1,12 @@
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import defaultdict
 
+import xxhash
+
 from pagemill.llm import exact_dedup, sharding
 
 
@@ -49,9 +53,54 @@ def test_sharding_keeps_groups_and_fills_slots(docs, wide, rows, empty):
     assert sharding.shard_documents(empty, 7).collect() == []
 
 
-def test_shards_are_even(spark):
-    import random
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_shards(rows, n):
+    """shard_documents restated in plain Python: (doc_id, size, shard, slot) in sorted form."""
+    keys = [hashlib.sha256((r[1] or "").encode()).digest()[:16] for r in rows]
+    sizes = [len((r[1] or "").encode()) + 16 for r in rows]
+    group = defaultdict(int)
+    for k, size in zip(keys, sizes, strict=True):
+        group[k] += size
+    step = {k: math.floor(math.log2(b) * 16) for k, b in group.items()}
+    per = defaultdict(list)
+    for k, b in group.items():
+        per[step[k]].append(b)
+    total = rest = sum(sizes)
+    parts = {}
+    for s in sorted(per, reverse=True):
+        parts[s] = max(1, min(len(per[s]), math.ceil(sum(per[s]) * n * 32 / rest)))
+        rest -= sum(per[s])
+    unit = {}
+    for k, b in group.items():
+        alone = b > max(total // (n * 32), 1)
+        unit[k] = "g" + k.hex().upper() if alone else f"b.{step[k]}.{signed(xxhash.xxh64_intdigest(k, seed=42)) % parts[step[k]]}"
+    loads = defaultdict(int)
+    for k, b in group.items():
+        loads[unit[k]] += b
+    shards, shard = [0] * n, {}
+    for u in sorted(loads, key=lambda u: (-loads[u], u)):  # longest first, to the least loaded
+        least = min(range(n), key=lambda s: (shards[s], s))
+        shard[u] = least
+        shards[least] += loads[u]
+    return sorted(repr((r[0], size, shard[unit[k]])) for r, k, size in zip(rows, keys, sizes, strict=True))
+
 
+def test_sharding_matches_brute_force(spark, docs, rows):
+    rng = random.Random(6)
+    more = [(i, rng.choice("abcdef") * rng.randrange(1, 2000) + str(i % 300)) for i in range(1500)]
+    for df, own, n in ((docs, rows, 7), (spark.createDataFrame(more, "doc_id long, text string"), more, 40)):
+        got = sharding.shard_documents(df, n).collect()
+        assert sorted(repr((r["doc_id"], r["size"], r["shard"])) for r in got) == brute_shards(own, n)
+        slots = defaultdict(list)
+        for r in got:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_shards_are_even(spark):
     rng = random.Random(1)
     rows = [(i, "w" * rng.choice([5, 50, 500, rng.randrange(3000)]) + str(i % 900)) for i in range(4000)]
     got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 10)

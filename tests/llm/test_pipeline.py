@@ -10,6 +10,7 @@ import pytest
 import test_lines
 import test_minhash
 import test_mixing
+import xxhash
 
 from pagemill.llm import lines, quality, spm
 from pagemill.llm.queries import model_path
@@ -25,7 +26,7 @@ def good(rows):
     rates = [bad[h] / n[h] for h in hosts]
     mean = sum(rates) / len(rates)
     a, b = quality.beta_prior(mean, sum((x - mean) ** 2 for x in rates) / len(rates), sum(1 / n[h] for h in hosts) / len(hosts))
-    fine = {h for h in hosts if (bad[h] + a) / (n[h] + a + b) <= quality.MAX_HOST_RATE} | {None}
+    fine = {h for h in hosts if (bad[h] + a) / (n[h] + a + b) <= quality.host_limit(a, b)} | {None}
     return [r for r, f in zip(rows, failed, strict=True) if not f and r[3] in fine]
 
 
@@ -48,7 +49,25 @@ def clean(rows):
 
 
 def first_copies(rows):
-    return [r for r, (i, _, c) in zip(rows, test_minhash.brute(rows), strict=True) if i == c]
+    """One row of each component: the least id (null last), then the least hash; sets of nothing stand alone."""
+    out, seen = [], set()
+    groups = {}
+    for r, (i, n, c) in zip(rows, test_minhash.brute(rows), strict=True):
+        # Components without any id are told apart by their sets.
+        groups.setdefault((c, n and c is None and frozenset(test_minhash.shingles(r[1]))) if n else ("bare", i, r[1]), []).append(r)
+    for own in groups.values():
+        least = min((r[0] is None, r[0] or 0) for r in own)
+        first = min((r for r in own if (r[0] is None, r[0] or 0) == least), key=lambda r: spark_hash(r[1]))
+        assert id(first) not in seen
+        seen.add(id(first))
+        out.append(first)
+    return out
+
+
+def spark_hash(text):
+    """Spark's xxhash64 of a string, signed."""
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def mixed(rows):
@@ -74,9 +93,8 @@ def mixed(rows):
 @pytest.fixture(scope="module")
 def sf_dir(spark, rows, tmp_path_factory):
     path = tmp_path_factory.mktemp("sf")
-    short = [r for r in rows if len(r[1] or "") < 3000]
-    spark.createDataFrame(short, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{path}/documents.parquet")
-    return str(path), short
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{path}/documents.parquet")
+    return str(path), rows
 
 
 def test_stages_and_run(spark, sf_dir):
