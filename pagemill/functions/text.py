@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Cues that route a question to a type of content, and the shapes of headings,
@@ -28,6 +31,14 @@ OVERLAP_CUTS = (". ", "; ", ", ", " ")
 FIGURE_CAPTION = r"(?i)^(figure|chart|exhibit|graph)"
 
 
+#: Makes white space, digits and word boundaries of any script count; filings are full of no-break spaces.
+UNICODE = "(?U)"
+
+
+def matches(c: Column, pattern: str) -> Column:
+    return c.rlike(UNICODE + pattern)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, of any script."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -43,7 +54,7 @@ def furniture_key(line: Column) -> Column:
 
 
 def heading_kind(c: Column) -> Column:
-    return F.when(c.rlike(PART), "part").when(c.rlike(NOTE), "note").when(c.rlike(ITEM), "item").otherwise("subsection")
+    return F.when(matches(c, PART), "part").when(matches(c, NOTE), "note").when(matches(c, ITEM), "item").otherwise("subsection")
 
 
 def citation(printed: Column, pdf: Column) -> Column:
@@ -82,27 +93,38 @@ def overlap_tail(text: Column, size: int) -> Column:
 def singular(token: Column) -> Column:
     """The singular of a regular plural, null for any other token."""
     cut = lambda n: F.substr(token, F.lit(1), F.length(token) - n)
-    plural = F.when(token.rlike("ies$"), F.concat(cut(3), F.lit("y")))
-    plural = plural.when(token.rlike("(s|x|z|ch|sh)es$"), cut(2))
-    plural = plural.when(token.rlike("s$") & ~token.rlike("(ss|us|is)$"), cut(1))
-    return F.when((F.length(token) >= 4) & token.rlike("^[a-z]+$"), plural)
+    ends = lambda *tails: reduce(or_, [token.endswith(x) for x in tails])
+    plural = F.when(ends("ies"), F.concat(cut(3), F.lit("y"))).when(ends("ses", "xes", "zes", "ches", "shes"), cut(2)).when(~ends("ss", "us", "is"), cut(1))
+    letters = F.translate(token, "abcdefghijklmnopqrstuvwxyz", "") == ""
+    return F.when(token.endswith("s") & (F.length(token) >= 4) & letters, plural)
+
+
+def raw_tokens(text: Column) -> Column:
+    """Runs of letters and digits with dots and commas, which ``token_forms`` trims and completes."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9][a-z0-9,\\.]*"), F.lit(0))
+
+
+def token_forms(raw: Column) -> Column:
+    """A trimmed token, its form without commas and its singular; null where there is none."""
+    t = F.btrim(raw, F.lit(".,"))
+    closed = F.replace(t, F.lit(","), F.lit(""))
+    return F.array(present(t), F.when((closed != t) & (closed != ""), closed), singular(t))
 
 
 def tokens(text: Column) -> Column:
     """Lexical tokens in order: each token, then its form without commas, then its singular."""
-    raw = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9][a-z0-9,\\.]*"), F.lit(0))
-    bare = F.transform(raw, lambda t: F.regexp_replace(t, r"^[.,]+|[.,]+$", ""))
+    return F.array_compact(F.flatten(F.transform(raw_tokens(text), token_forms)))
 
-    def forms(t: Column) -> Column:
-        closed = F.replace(t, F.lit(","), F.lit(""))
-        return F.array(t, F.when((closed != t) & (closed != ""), closed), singular(t))
 
-    return F.filter(F.flatten(F.transform(bare, forms)), lambda t: t.isNotNull() & (t != ""))
+def token_rows(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """(keys, term): a row for each of ``tokens``. The forms are made row by row in generated code, not in a lambda."""
+    raw = rows.select(*keys, F.explode(raw_tokens(F.col(text_col))).alias("raw"))
+    return raw.select(*keys, F.explode(token_forms(F.col("raw"))).alias("term")).where("term is not null")
 
 
 def route(question: Column) -> Column:
     """struct<text,table,figure> of doubles: 1.0 where the question has a cue for the type."""
-    hit = lambda cues: question.rlike(cues).cast("double")
+    hit = lambda cues: matches(question, cues).cast("double")
     return F.struct(hit(TEXT_CUES).alias("text"), hit(TABLE_CUES).alias("table"), hit(FIGURE_CUES).alias("figure"))
 
 
@@ -130,7 +152,7 @@ def cell_value(text: Column, currency: Column, percent: Column) -> Column:
 
 
 def last_match(text: Column, pattern: str) -> Column:
-    return strip(F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lit(-1)))
+    return strip(F.try_element_at(F.regexp_extract_all(text, F.lit(UNICODE + pattern), F.lit(0)), F.lit(-1)))
 
 
 def markdown(headers: Column, rows: Column) -> Column:

@@ -28,6 +28,12 @@ def outside_regions(blocks: DataFrame, regions: DataFrame, keys: list[str]) -> D
     return blocks.join(r, [*same, covered_share("", "r_") > COVERED], "left_anti")
 
 
+def table_numbers(tables: DataFrame, keys: list[str]) -> DataFrame:
+    """Tables (keys, x0, y0, ...) with ``table_no``, their number on the page from 0, from top to bottom."""
+    order = Window.partitionBy(*keys).orderBy("y0", "x0", "y1", "x1")
+    return tables.withColumn("table_no", F.row_number().over(order) - 1)
+
+
 def table_floors(tables: DataFrame, keys: list[str]) -> DataFrame:
     """Tables (keys, table_no, y0, y1) with ``floor``, the lowest bottom of another table that ends above."""
     above = tables.select(*keys, F.col("table_no").alias("o_no"), F.col("y1").alias("o_y1"))

@@ -6,23 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.config import DEFAULT, Config
-from pagemill.functions.text import tokens
+from pagemill.functions.text import token_rows
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "embed_text") -> DataFrame:
     """(id_col, term, tf, dl), dl being the number of tokens of the chunk.
 
     All tokens of a chunk stand in one partition, so the map side already counts them and a row for
-    each chunk and term is shuffled.
+    each chunk and term is shuffled; ``dl`` is the sum of a chunk's counts.
     """
-    bag = chunks.select(id_col, tokens(F.col(text_col)).alias("bag"))
-    counted = bag.select(id_col, F.size("bag").cast("bigint").alias("dl"), F.explode("bag").alias("term"))
-    return counted.groupBy(id_col, "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select(id_col, "term", "tf", "dl")
+    counted = token_rows(chunks, [id_col], text_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return counted.withColumn("dl", F.sum("tf").over(Window.partitionBy(id_col)))
 
 
-def corpus_stats(chunks: DataFrame, text_col: str = "embed_text") -> DataFrame:
-    """One row: n and avgdl of all chunks."""
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(text_col)))).alias("avgdl"))
+def corpus_stats(chunks: DataFrame, posts: DataFrame) -> DataFrame:
+    """One row: n and avgdl of all chunks, those without a token included; ``posts`` are their postings."""
+    n = chunks.agg(F.count(F.lit(1)).alias("n"))
+    words = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+    return n.join(F.broadcast(words)).select("n", F.when(F.col("n") > 0, F.col("words") / F.col("n")).alias("avgdl"))  # one row each
 
 
 def term_stats(posts: DataFrame, stats: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -37,7 +38,7 @@ def term_stats(posts: DataFrame, stats: DataFrame, cfg: Config = DEFAULT) -> Dat
 
 def query_terms(questions: DataFrame, id_col: str = "question_id", text_col: str = "question") -> DataFrame:
     """(id_col, term, qtf): a term that a question repeats counts as often."""
-    return questions.select(id_col, F.explode(tokens(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    return token_rows(questions, [id_col], text_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
 def ranked(scores: DataFrame, by: str, score: Column, tie: str, k: int, name: str = "rank") -> DataFrame:
@@ -59,8 +60,8 @@ def bm25_topk(
 ) -> DataFrame:
     """(question_id, chunk_col, score, rank): the k best chunks with a positive score.
 
-    ``allowed`` (chunk_col) restricts the chunks; statistics stay those of the whole corpus. Questions
-    are few, so their terms reduce the postings before anything is shuffled.
+    ``allowed`` (chunk_col) restricts the chunks; statistics stay those of the whole corpus. The terms of the
+    questions reduce stored postings before they are shuffled; postings made on the fly have been by then.
     """
     asked = query_terms(questions).join(terms, "term")
     hits = posts.join(asked, "term").join(F.broadcast(stats))

@@ -268,7 +268,7 @@ table_texts AS (
   FROM parts)"""
 ALL_CHUNKS = f"""{TABLE_TEXTS}, {FIGURES},
 all_chunks AS (
-  SELECT source AS document_id, 'text' AS content_type, concat_ws(chr(10), lang, text) AS embed_text FROM documents
+  SELECT source AS document_id, 'text' AS content_type, concat_ws(chr(10) || chr(10), lang, text) AS embed_text FROM documents
   UNION ALL SELECT 'orders', 'table', embed_text FROM table_texts
   UNION ALL SELECT document_id, 'figure', embed_text FROM fig_texts)"""
 
@@ -377,12 +377,23 @@ wheres AS (
   SELECT document_id, string_agg(CASE WHEN printed_page IS NULL THEN 'PDF page ' || pdf_page ELSE 'page ' || printed_page END, ', ' ORDER BY pdf_page) AS places
   FROM (SELECT DISTINCT document_id, pdf_page, printed_page FROM described) GROUP BY 1)
 SELECT document_id || '::document::figure-inventory' AS chunk_id, coalesce(first, 1)::BIGINT AS pdf_page, coalesce(total, 0) AS total, coalesce(decorative, 0) AS decorative,
-  CASE WHEN total IS NULL THEN 'This document has no images, figures, charts, graphs, diagrams or illustrations on its 6 pages.'
-  ELSE 'Images and figures of this document: ' || total || ' embedded image' || CASE WHEN total = 1 THEN '' ELSE 's' END || ' on 6 pages, located on ' || places
-    || '. Decorative (a logo or rule) rather than informational: ' || decorative || '.'
-    || CASE WHEN decorative = total THEN ' It has no charts, graphs, diagrams or data figures; all its content is text and tables.' ELSE '' END END AS text
+  CASE WHEN total IS NULL THEN 'Figure inventory. Embedded images: 0, on none of 6 pages. There is no figure, chart, graph, diagram or picture here.'
+  ELSE 'Figure inventory. Embedded images: ' || total || ', in a document of 6 pages. Found on: ' || places || '. Of these, decoration only: ' || decorative || '.'
+    || CASE WHEN decorative = total THEN ' No figure, chart, graph or diagram with data is among them.' ELSE '' END END AS text
 FROM docs LEFT JOIN counts USING (document_id) LEFT JOIN wheres USING (document_id)""",
     "table_chunk_text": f"WITH {TABLE_TEXTS} SELECT chunk_id, embed_text, display_text FROM table_texts",
+    "chunk_order": f"""WITH {FIGURES},
+named AS (
+  SELECT source AS document_id, doc_id % 50 + 1 AS pdf_page, 'text' AS kind, doc_id AS number FROM documents
+  UNION ALL SELECT 'orders', o_orderkey % 90 + 1, 'table', o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
+  UNION ALL SELECT document_id, pdf_page, 'figure', row_number() OVER (PARTITION BY document_id ORDER BY pdf_page, img_no) - 1 FROM described)
+SELECT document_id || '::p' || CASE WHEN pdf_page < 100 THEN lpad(pdf_page::VARCHAR, 3, '0') ELSE pdf_page::VARCHAR END || '::' || kind || '::' || number AS chunk_id,
+       row_number() OVER (PARTITION BY document_id ORDER BY pdf_page, kind, number) - 1 AS ordinal
+FROM named""",
+    "table_number": f"""WITH {BOXES}
+SELECT document_id, pdf_page::BIGINT AS pdf_page, row_number() OVER (PARTITION BY document_id, pdf_page ORDER BY y0, x0, y1, x1) - 1 AS table_no, x0, y0, x1, y1 FROM boxes""",
+    "header_spans": f"""WITH {BOXES}
+SELECT document_id AS table_id, box_no AS col, row_number() OVER (PARTITION BY document_id ORDER BY box_no) - 1 AS place, x0, x1 FROM boxes WHERE box_no <> 3""",
     "chunk_union": f"WITH {ALL_CHUNKS} SELECT document_id, content_type, count(*) AS n, sum(length(embed_text))::BIGINT AS chars FROM all_chunks GROUP BY 1, 2",
     "ingest_report": f"""WITH {ALL_CHUNKS},
 c AS (
@@ -419,6 +430,7 @@ SELECT question_id, string_agg(kind || '=' || n, ', ' ORDER BY kind) AS mix FROM
     "context_dedup": f"{USED} SELECT question_id, chunk_id, rank FROM uniq",
     "evidence_block": f"WITH {CHUNKS} SELECT chunk_id, block FROM blocks",
     "context_budget": f"{USED} SELECT question_id, chunk_id, place, n_dropped FROM used",
+    "cited_evidence": f"{USED} SELECT question_id, chunk_id, place % 2 = 1 AS cited FROM used",
     "context_text": f"""{USED},
 texts AS (SELECT question_id, '<<<EVIDENCE' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY place) || chr(10) || 'EVIDENCE>>>' AS evidence, count(*) AS n_used, max(n_dropped) AS n_dropped FROM used GROUP BY 1)
 SELECT question_id, md5(evidence) AS evidence_md5, n_used, n_dropped, length(evidence) AS characters FROM texts""",

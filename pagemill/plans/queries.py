@@ -247,6 +247,32 @@ def chunk_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("document_id", "content_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("embed_text")).cast("long").alias("chars"))
 
 
+def chunk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every chunk of three types in its document."""
+    return chunking.in_order(_all_chunks(spark, sf_dir)).select("chunk_id", long("ordinal"))
+
+
+def table_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as tables, numbered on their page."""
+    out = layout.table_numbers(inputs.boxes(spark, sf_dir), DOC)
+    return out.select("document_id", long("pdf_page"), long("table_no"), "x0", "y0", "x1", "y1")
+
+
+def header_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents of the columns of tables whose columns are the line numbers of an order."""
+    cells = inputs.boxes(spark, sf_dir).withColumnsRenamed({"document_id": "table_id", "box_no": "col"})
+    cells = cells.withColumn("x0", F.when(F.col("col") != 3, F.col("x0")))
+    return layout.column_spans(cells, TABLE).select("table_id", long("col"), long("place"), "x0", "x1")
+
+
+def cited_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence flagged by replies that name every other chunk, some of them twice, and one that isn't there."""
+    used = _used(spark, sf_dir)
+    odd = F.sort_array(F.collect_list(F.when(F.col("place") % 2 == 1, F.col("chunk_id").cast("string"))))
+    answered = used.groupBy("question_id").agg(F.concat(odd, F.slice(odd, 1, 1), F.array(F.lit("absent"))).alias("cited"))
+    return answers.flag_cited(used, answered).select("question_id", "chunk_id", "cited")
+
+
 def _all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.table(spark, sf_dir, "documents").select(
         F.col("source").alias("document_id"), (F.col("doc_id") % 50 + 1).cast("int").alias("pdf_page"), F.col("doc_id").alias("chunk_no"), F.col("text").alias("body"),
@@ -267,13 +293,14 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = inputs.table(spark, sf_dir, "documents")
-    bag = docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    return bag.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("term").alias("n_terms"), F.max("term").alias("last_term"))
+    counts = T.token_rows(docs, ["doc_id"], "text").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.count("term").alias("n_terms"), F.max("term").alias("last_term"))
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     chunks = inputs.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("embed_text"))
-    posts, stats = lexical.postings(chunks), lexical.corpus_stats(chunks)
+    posts = lexical.postings(chunks)
+    stats = lexical.corpus_stats(chunks, posts)
     return posts, lexical.term_stats(posts, stats), stats
 
 
@@ -429,10 +456,12 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = inputs.questions(spark, sf_dir).select("question_id", F.trim("question").alias("t"))
     # The third shingle of a passage lies inside it, whatever stands around it in a document.
     q = q.withColumn("gram", F.array_join(F.slice(words(F.col("t")), 3, 5), " "))
-    d = inputs.table(spark, sf_dir, "documents").select("doc_id", "text", words(F.col("text")).alias("w"))
+    docs = inputs.table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = docs.select("doc_id", words(F.col("text")).alias("w"))
     grams = F.transform(F.col("w"), lambda x, i: F.array_join(F.slice(F.col("w"), i + 1, F.lit(5)), " "))
-    d = d.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("gram"))
-    found = d.join(q, "gram").where(F.contains("text", F.col("t")))
+    # Shingles travel without the texts, which only the documents that have one of a passage need.
+    hits = d.select("doc_id", F.explode(grams).alias("gram")).join(q, "gram").select("question_id", "t", "doc_id").distinct()
+    found = hits.join(docs, "doc_id").where(F.contains("text", F.col("t")))
     return found.groupBy("question_id").agg(F.sort_array(F.collect_set("doc_id")).alias("expected"))
 
 
@@ -508,7 +537,7 @@ QUERIES = (
     line_normalise, furniture_profile, furniture_strip, printed_page, page_offset, heading_classify, section_state, section_asof,
     provenance_labels, region_antijoin, table_floor, header_assign, header_groups, header_rows, header_columns, column_classify,
     table_collapse, table_validate, table_markdown, table_records, units_caption, chunk_pack, figure_flags, figure_inventory,
-    table_chunk_text, chunk_union, ingest_report, tokenize_stats, term_stats, bm25_topk, bm25_filtered, cosine_topk, cosine_filtered,
+    table_chunk_text, chunk_union, chunk_order, table_number, header_spans, cited_evidence, ingest_report, tokenize_stats, term_stats, bm25_topk, bm25_filtered, cosine_topk, cosine_filtered,
     route_bias, rrf_fuse, rrf_boosted, content_mix, context_dedup, evidence_block, context_budget, context_text, vision_pick,
     source_list, reply_parse, contains_all, retrieval_score, answer_score, eval_summary, eval_by_category, eval_failures,
     index_upsert, event_windows,

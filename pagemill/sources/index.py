@@ -1,11 +1,12 @@
-"""The index as Parquet tables in one folder: chunks, vectors, postings, statistics and a marker.
+"""The index as Parquet tables in one folder: chunks with their vectors, postings, statistics and a marker.
 
-``chunks`` and ``vectors`` are partitioned by content type, so a filter on it prunes files. Every
+``chunks`` is partitioned by content type, so a filter on it prunes files. Every
 build writes new version folders and moves the pointer last; readers never see half a build.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -15,8 +16,6 @@ from pyspark.sql import functions as F
 from pagemill.errors import IndexMissing, InvalidRequest, ModelMismatch
 from pagemill.operators.lexical import corpus_stats, postings, term_stats
 
-PARTITIONED = ("chunks",)
-
 
 def merge_by_key(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``new`` in place of the rows of ``existing`` with the same key; others stay."""
@@ -56,15 +55,16 @@ class Index:
         if meta is not None:
             self.verify(model)
             chunks = merge_by_key(self.chunks(), chunks, "chunk_id")
-        bad = chunks.where(F.coalesce(F.size("embedding"), F.lit(-1)) != dimension).limit(1).count()
-        if bad:
-            raise InvalidRequest(f"an embedding is not of length {dimension}")
         version = f"v-{uuid.uuid4().hex}"
+        # Written first and checked then, so that no text is embedded twice; the pointer moves only to a sound build.
         chunks.write.partitionBy("content_type").parquet(f"{self.path}/{version}/chunks")
         stored = self.spark.read.parquet(f"{self.path}/{version}/chunks")
+        if stored.where(F.coalesce(F.size("embedding"), F.lit(-1)) != dimension).limit(1).count():
+            raise InvalidRequest(f"an embedding is not of length {dimension}")
         postings(stored).write.parquet(f"{self.path}/{version}/postings")
-        corpus_stats(stored).write.parquet(f"{self.path}/{version}/stats")
-        posts, stats = (self.spark.read.parquet(f"{self.path}/{version}/{n}") for n in ("postings", "stats"))
+        posts = self.spark.read.parquet(f"{self.path}/{version}/postings")
+        corpus_stats(stored, posts).write.parquet(f"{self.path}/{version}/stats")
+        stats = self.spark.read.parquet(f"{self.path}/{version}/stats")
         term_stats(posts, stats).write.parquet(f"{self.path}/{version}/terms")
         pointer = self.spark.range(1).select(F.lit(version).alias("version"), F.lit(model).alias("model"), F.lit(dimension).alias("dimension"), F.current_timestamp().alias("at"))
         pointer.write.mode("append").json(f"{self.path}/meta")
@@ -84,6 +84,15 @@ class Index:
     def lexical(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return self._read("postings"), self._read("terms"), self._read("stats")
 
+    def wait_until_ready(self, seconds: float = 30.0, every: float = 0.5) -> bool:
+        """Whether the index has a build, after waiting for one for so long at most."""
+        until = time.monotonic() + seconds
+        while self._pointer() is None:
+            if time.monotonic() >= until:
+                return False
+            time.sleep(every)
+        return True
+
     def count(self) -> int:
         return self.chunks().count()
 

@@ -209,8 +209,8 @@ def test_figures_and_inventory(spark):
     docs = spark.createDataFrame([("d", 5), ("e", 2)], "document_id string, page_count int")
     printed = spark.createDataFrame([("d", 2, 7)], "document_id string, pdf_page int, printed_page int")
     inv = {r["document_id"]: r for r in figures.figure_inventory(docs, figs, printed).collect()}
-    assert inv["e"]["text"].startswith("This document has no images") and inv["e"]["pdf_page"] == 1
-    assert "3 embedded images on 5 pages, located on PDF page 1, page 7, PDF page 3" in inv["d"]["text"] and inv["d"]["decorative"] == 1
+    assert inv["e"]["text"].startswith("Figure inventory. Embedded images: 0, on none of") and inv["e"]["pdf_page"] == 1
+    assert "images: 3, in a document of 5 pages. Found on: PDF page 1, page 7, PDF page 3." in inv["d"]["text"] and inv["d"]["decorative"] == 1
 
 
 def test_table_floor_and_header_ties(spark):

@@ -12,7 +12,7 @@ from pagemill.errors import ConfigError, EmptyQuestion, IndexMissing, InvalidReq
 from pagemill.operators import answers, context, evaluation, fusion, lexical, vectors
 from pagemill.sources.documents import PlainTextDecoder, read_questions, read_spans
 from pagemill.sources.index import Index, merge_by_key
-from pagemill.streaming.upsert import stream_into
+from pagemill.streaming.upsert import latest, stream_into
 
 
 def bm25(corpus, query, k1=1.5, b=0.75, eps=0.25):
@@ -29,7 +29,8 @@ def test_bm25_matches_a_scalar_form(spark):
     corpus = [["common"] * rng.randrange(0, 3) + [f"t{rng.randrange(30)}x" for _ in range(rng.randrange(3, 25))] for _ in range(50)]
     chunks = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(corpus)], "chunk_id long, embed_text string")
     asked = [["common", "t1x", "t1x"], ["t2x", "nothing"], ["t5x", "t6x", "t7x"]]
-    posts, stats = lexical.postings(chunks), lexical.corpus_stats(chunks)
+    posts = lexical.postings(chunks)
+    stats = lexical.corpus_stats(chunks, posts)
     q = spark.createDataFrame([(i, " ".join(a)) for i, a in enumerate(asked)], "question_id long, question string")
     allowed = chunks.where("chunk_id % 2 = 0")
     for limit, keep in ((None, lambda i: True), (allowed, lambda i: i % 2 == 0)):
@@ -250,3 +251,37 @@ def test_ingest_query_and_evaluate(spark, tmp_path):
     path = tmp_path / "q.json"
     path.write_text(json.dumps({"document": "doc", "questions": [{"id": "a", "category": "text", "question": "pears", "expected_pages": [2], "answer_contains": [], "should_refuse": False}]}))
     assert cli.evaluate(spark, str(path), index, e, cfg).first()["hit"]
+
+
+def test_zero_and_null_vectors_in_both_branches(spark):
+    vectors_ = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0])], "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "question_id long, embedding array<double>")
+    got = [
+        sorted((r["question_id"], r["chunk_id"], r["score"], r["rank"]) for r in out.collect())
+        for out in (vectors.cosine_topk(asked, vectors_, 5), vectors.cosine_topk_joined(asked, vectors_, 5))
+    ]
+    assert got[0] == got[1] == [(1, 1, 1.0, 1), (1, 2, 0.0, 3), (1, 4, 0.707107, 2), (2, 1, 0.0, 1), (2, 2, 0.0, 2), (2, 4, 0.0, 3)]
+
+
+def test_postings_with_and_without_tokens(spark):
+    chunks = spark.createDataFrame([("a", "Cats, cats and 1,234 boxes."), ("b", "..."), ("c", "")], "chunk_id string, embed_text string")
+    posts = lexical.postings(chunks)
+    got = {(r["chunk_id"], r["term"]): (r["tf"], r["dl"]) for r in posts.collect()}
+    assert got == {("a", t): (n, 9) for t, n in {"cats": 2, "cat": 2, "and": 1, "1,234": 1, "1234": 1, "boxes": 1, "box": 1}.items()}
+    assert lexical.corpus_stats(chunks, posts).first().asDict() == {"n": 3, "avgdl": 3.0}
+
+
+def test_latest_version_of_a_chunk(spark):
+    rows = [("a", "old", 1), ("a", "new", 3), ("a", "mid", 2), ("b", "only", 1)]
+    out = latest(spark.createDataFrame(rows, "chunk_id string, embed_text string, v int"), "v")
+    assert out.columns == ["chunk_id", "embed_text"] and {tuple(r) for r in out.collect()} == {("a", "new"), ("b", "only")}
+
+
+def test_flags_of_cited_evidence(spark):
+    used = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "a", 1)], "question_id long, chunk_id string, place int")
+    answered = spark.createDataFrame([(1, ["b", "b", "x"]), (2, None)], "question_id long, cited array<string>")
+    assert {(r["question_id"], r["chunk_id"]): r["cited"] for r in answers.flag_cited(used, answered).collect()} == {(1, "a"): False, (1, "b"): True, (2, "a"): False}
+
+
+def test_waiting_for_an_index(spark, tmp_path):
+    assert Index(spark, str(tmp_path / "none")).wait_until_ready(0.2, 0.05) is False

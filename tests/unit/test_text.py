@@ -100,3 +100,12 @@ def test_captions_and_units(spark):
     assert value(spark, T.last_match(F.col("x"), T.CAPTION), x=band) == "The following tables show b (in millions):"
     assert value(spark, T.last_match(F.col("x"), T.UNITS), x=band) == "(Dollars in thousands)"
     assert value(spark, T.last_match(F.col("x"), T.UNITS), x="none") is None
+
+
+def test_white_space_of_any_script(spark):
+    nb = "\u00a0"
+    kinds = {f"Item{nb}2.{nb}Legal": "item", f"PART{nb}IV": "part", f"Note{nb}3{nb}–{nb}Taxes": "note", f"Items{nb}2": "subsection"}
+    for text, kind in kinds.items():
+        assert value(spark, T.heading_kind(F.col("x")), x=text) == kind
+    assert value(spark, T.last_match(F.col("x"), T.UNITS), x=f"Sales ({nb}in{nb}millions)") == f"({nb}in{nb}millions)"
+    assert value(spark, T.route(F.col("x")), x=f"how{nb}much was it")["table"] == 1.0
