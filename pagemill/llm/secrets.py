@@ -11,11 +11,14 @@ The interval join runs inside the row, on the arrays of spans of one text, so it
 Positions follow from the pieces between matches: ``split`` gives what lies before each match and
 ``regexp_extract_all`` the matches themselves. Texts without any candidate take a plain path.
 
-A null text counts as empty. Repeated rows are scanned each. Whole texts are scanned.
+A null or empty text has no span, an empty table gives an empty result. Repeated rows are scanned each. Whole
+texts are scanned, however long. Further columns may have any name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,24 +35,43 @@ KINDS = ("assign", "access", "hex", "secret", "endpoint")
 
 
 def _spans(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
-    """All matches as array<struct<start,rank,end,kind,value>>, code points from 0, end exclusive."""
+    """All matches as array<struct<start,rank,end,kind,value>>, code points from 0, end exclusive.
+
+    Places are running sums. A fold that appends copies what it has so far, so the matches are cut into about
+    sqrt(n) blocks, each folded alone from where the blocks before it end.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     pieces = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
-    seed = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["hit"])
+        end = acc["at"] + x["before"] + x["hit"]
         span = F.struct(
-            start.cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.cast("int").alias("end"),
-            F.lit(kind).alias("kind"), x["value"].alias("value"),
+            (acc["at"] + x["before"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")
         )
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    lengths = lambda xs: F.transform(xs, lambda x: F.length(x))
+    parts = F.arrays_zip(F.slice(lengths(pieces), F.lit(1), F.size(hits)).alias("before"), lengths(hits).alias("hit"), values.alias("value"))
+
+    def place(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["before"] + x["hit"]))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        fold = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+        # One start more than blocks: the last one has no block and gives nothing.
+        return F.flatten(F.filter(F.zip_with(blocks, starts, fold), lambda b: b.isNotNull()))
+
+    def cut(xs: Column) -> Column:
+        wide = lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / w).cast("int") - 1), lambda i: F.slice(xs, i * w + 1, w))
+        return _let(F.ceil(F.sqrt(F.size(xs))).cast("int"), wide)
+
+    return F.when(text.rlike(pattern), _let(parts, lambda xs: _let(cut(xs), place))).otherwise(empty)
+
 
-    parts = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("before"), hits.alias("hit"), values.alias("value"))
-    return F.when(text.rlike(pattern), F.aggregate(parts, seed, step, lambda acc: acc["out"])).otherwise(empty)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _near(a: Column, b: Column) -> Column:

@@ -46,3 +46,9 @@ def test_weak_parts_need_their_complements(spark):
 
 def test_empty_table(spark):
     assert scan(spark, []) == {}
+
+
+def test_a_text_with_very_many_spans(spark):
+    text = " ".join(f"https://h{i}.example.com/{'é' * (i % 3)} {"AKIA" if i == 7 else "x"}{"Q" * 20} {i:032x}" for i in range(40_000))
+    got = scan(spark, [text])[0]
+    assert [s for s in got if s[0] in ("assign", "access", "hex")] == brute(text) and len(got) >= 40_001
