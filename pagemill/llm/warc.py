@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import PIECE, arrow_pass, discard, dropping_shuffles, join_unique, materialise, quoted, scratch_root
+from pagemill.llm.common import PIECE, arrow_pass, discard, dropping_shuffles, hot_keys, join_unique, materialise, quoted, scratch_root
 
 REVISIT_BYTES = 100
 #: Captures (of three records) in one file, which a reader holds at once: so many, or as many as have FILE_BYTES of payload
@@ -58,19 +58,36 @@ def _safe(url: Column) -> Column:
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write one capture per row of ``pages`` under ``path``, which must be in a shared folder."""
+    """Write one capture per row of ``pages`` under ``path``, which must be in a shared folder.
+
+    Record names follow from digest and page id, so pages are neither staged nor named twice; only groups of equal
+    payloads in which a page id repeats are written first, with a random name for each row.
+    """
     html = F.coalesce(F.col(quoted(html_col)), F.lit(""))
-    staged = pages.select(
+    base = pages.select(
         F.col(quoted(id_col)).alias("page_id"), F.coalesce(F.col(quoted(url_col)), F.lit("")).alias("url"), html.alias("html"),
-        F.octet_length(html).cast("long").alias("bytes"), F.sha2(html, 256).alias("digest"), F.expr("uuid()").alias("row"),
+        F.octet_length(html).cast("long").alias("bytes"), F.sha2(html, 256).alias("digest"),
+    )
+    void = F.col("page_id").isNull().alias("void")
+    counts = base.groupBy("digest", "page_id", "bytes").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy("digest").agg(
+        F.min(F.struct(void, "page_id")).alias("first"), F.max("n").alias("most"), F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("bytes")).alias("bytes")
     )
-    staged = materialise(staged, "pages")  # from here on the row names stand
-    key = F.struct(F.col("page_id").isNull().alias("void"), "page_id", "row")
-    firsts = staged.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = materialise(firsts.where("n > 1").select("digest", "first"), "firsts")
-    revisits = join_unique(staged.where(F.col("bytes") >= REVISIT_BYTES).select("digest", "row"), firsts, ["digest"])
-    revisits = revisits.where("row <> first.row").select("row", F.col("first.row").alias("refers"))
-    rows = staged.join(revisits, "row", "left")
+    groups = materialise(groups, "payloads")
+    firsts = groups.where("rows > 1").select("digest", "first", "most")
+    hot = groups.where("rows > 1").orderBy(F.desc("rows"), "digest").limit(hot_keys(pages.sparkSession)).select("digest")
+    known = join_unique(base, firsts, ["digest"], hot)
+
+    again = (F.col("bytes") >= REVISIT_BYTES) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    name = lambda id_: _uuid(F.lit("capture"), F.col("digest"), F.coalesce(id_.cast("string"), F.lit("")))
+    once = known.where("coalesce(most, 1) = 1")
+    rows = once.withColumns({"row": name(F.col("page_id")), "refers": F.when(again, name(F.col("first.page_id")))}).drop("first", "most")
+    several = None
+    if groups.where("most > 1").limit(1).count():
+        several = materialise(known.where("most > 1").drop("first", "most").withColumn("row", F.expr("uuid()")), "pages")  # from here on the names stand
+        chosen = several.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min(F.struct(void, "page_id", "row")).alias("first"))
+        named = join_unique(several, chosen, ["digest"]).withColumn("refers", F.when(F.col("row") != F.col("first.row"), F.col("first.row")))
+        rows = rows.unionByName(named.drop("first"))
 
     date_line = F.lit(f"WARC-Date: {date}")
     url = F.when(F.col("url").rlike(r"[\x00-\x20]"), _safe(F.col("url"))).otherwise(F.col("url"))
@@ -93,11 +110,11 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         _record("metadata", mid, [*common, concurrent, F.lit("Content-Type: application/warc-fields")], seen),
     )
     lines = rows.select(F.array_join(records, CRLF * 2).alias("value"))
-    mean = staged.agg(F.avg("bytes")).first()[0] or 1
+    mean = groups.agg(F.sum("bytes") / F.sum("rows")).first()[0] or 1
     per_file = max(1, min(CAPTURES_PER_FILE, int(FILE_BYTES / max(mean, 1))))
     with dropping_shuffles(pages.sparkSession):
         lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
-    discard(staged, firsts)
+    discard(groups, *([several] if several is not None else []))
 
 
 RECORD = (
