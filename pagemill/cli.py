@@ -3,79 +3,40 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
+from pagemill import engine
 from pagemill.config import Config
-from pagemill.errors import PagemillError
-from pagemill.functions.text import furniture_key, strip
-from pagemill.operators import answers, chunking, context, evaluation, furniture, fusion, lexical, sections, vectors
-from pagemill.sources.documents import PlainTextDecoder, read_questions, read_spans
+from pagemill.errors import InvalidRequest, PagemillError
+from pagemill.operators import answers, vectors
+from pagemill.sources.documents import JsonDecoder, PlainTextDecoder
 from pagemill.sources.index import Index
 
-LEVELS = sections.LEVELS
+DECODERS = {"text": PlainTextDecoder, "json": JsonDecoder}
 
 
-def ingest(spark: SparkSession, path: str, index: Index, embedder: vectors.Embedder, cfg: Config, decoder=None, rebuild: bool = False) -> int:
-    """Files under ``path`` to text chunks in the index; returns how many the index holds."""
-    spans, _ = read_spans(spark, path, decoder or PlainTextDecoder())
-    lines = spans.groupBy("document_id", "pdf_page", "block_no", "line_no").agg(
-        strip(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("span_no", "text"))), lambda s: s["text"]))).alias("text"), F.min("ly0").alias("top")
-    )
-    numbered = lines.withColumn("line_no", F.col("block_no") * 10_000 + F.col("line_no"))
-    profile = furniture.furniture_profile(numbered, cfg)
-    printed = furniture.printed_pages(numbered, profile, cfg)
-    body = numbered.withColumn("norm", furniture_key(F.col("text"))).join(profile.select("document_id", "norm"), ["document_id", "norm"], "left_anti")
-    placed = sections.sections_at(body.select("document_id", "pdf_page", "top", "line_no", "text"), sections.headings(spans, profile))
-    key = F.coalesce("section", "item", F.lit(""))
-    packed = chunking.pack_blocks(placed.select("document_id", "pdf_page", F.col("line_no").alias("ord"), key.alias("key"), "text"), cfg)
-    anchors = placed.select("document_id", "pdf_page", F.col("line_no").cast("bigint").alias("anchor"), *LEVELS)
-    full = packed.join(anchors, ["document_id", "pdf_page", "anchor"], "left")
-    where = full.select(chunking.chunk_id("text", F.col("chunk_no")).alias("chunk_id"), *LEVELS)
-    chunks = chunking.text_chunks(full).join(where, "chunk_id").join(printed, ["document_id", "pdf_page"], "left")
-    return index.write(vectors.embed_texts(chunks, embedder, "embed_text", cfg), embedder.name, embedder.dimension, rebuild)
-
-
-def retrieve(spark: SparkSession, questions, index: Index, embedder: vectors.Embedder, cfg: Config, top_k: int | None = None, types: list[str] | None = None):
-    """Hits of questions (question_id, question), with the chunks they name."""
-    index.verify(embedder.name)
-    chunks, (posts, terms, stats) = index.chunks(), index.lexical()
-    allowed = chunks.where(F.col("content_type").isin(types)) if types else chunks
-    asked = vectors.embed_texts(questions, embedder, "question", cfg)
-    dense = vectors.cosine_topk(asked, allowed, cfg.dense_k, cfg)
-    lex = lexical.bm25_topk(questions, posts, terms, stats, cfg.lexical_k, cfg, allowed=allowed if types else None)
-    hits = fusion.fuse(dense, lex, cfg.limit(top_k), cfg, bias=fusion.routed(questions), types=chunks)
-    return hits.join(chunks.drop("embedding"), "chunk_id")
-
-
-def evidence(hits, cfg: Config):
-    """(used, contexts) of hits of text chunks."""
-    for c, kind in (("units", "string"), ("validation", "string"), ("is_decorative", "boolean"), ("printed_page", "int")):
-        if c not in hits.columns:
-            hits = hits.withColumn(c, F.lit(None).cast(kind))
-    unique = context.distinct_hits(hits)
-    used = context.within_budget(unique.withColumn("block", context.evidence_block(unique)), cfg)
-    return used, context.build_context(used)
-
-
-def evaluate(spark: SparkSession, path: str, index: Index, embedder: vectors.Embedder, cfg: Config):
-    """Retrieval scores of a JSON question set."""
-    q = read_questions(spark, path).withColumnRenamed("id", "question_id")
-    used, _ = evidence(retrieve(spark, q.select("question_id", "question"), index, embedder, cfg), cfg)
-    pages = used.groupBy("question_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "pdf_page"))), lambda s: s["pdf_page"]).alias("retrieved"))
-    rows = q.join(pages, "question_id", "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<int>")))
-    return evaluation.retrieval_scores(rows.withColumn("expected", F.coalesce("expected_pages", F.array().cast("array<int>"))))
+def plugin(name: str):
+    """The class ``module:name`` without arguments; embedders, completers and decoders of one's own."""
+    module, _, attribute = name.partition(":")
+    try:
+        return getattr(importlib.import_module(module), attribute)()
+    except (ImportError, AttributeError, ValueError) as e:
+        raise InvalidRequest(name) from e
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="pagemill", description=__doc__)
     p.add_argument("--index", required=True, help="folder of the index")
+    p.add_argument("--embedder", help="module:class of an embedder; hashed words without one")
+    p.add_argument("--completer", help="module:class of a language model; a stand-in that cites all evidence without one")
     sub = p.add_subparsers(dest="command", required=True)
     s = sub.add_parser("ingest")
     s.add_argument("path")
     s.add_argument("--rebuild", action="store_true")
+    s.add_argument("--decoder", default="text", help="text, json, or module:class of a decoder")
     s = sub.add_parser("query")
     s.add_argument("question")
     s.add_argument("--top-k", type=int)
@@ -86,21 +47,24 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--output")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("pagemill").getOrCreate()
-    index, embedder, cfg = Index(spark, a.index), vectors.HashingEmbedder(), Config.from_env()
     try:
+        index, cfg = Index(spark, a.index), Config.from_env()
+        embedder = plugin(a.embedder) if a.embedder else vectors.HashingEmbedder()
+        completer = plugin(a.completer) if a.completer else answers.EchoCompleter()
         if a.command == "ingest":
-            print(ingest(spark, a.path, index, embedder, cfg, rebuild=a.rebuild))
+            decoder = DECODERS[a.decoder]() if a.decoder in DECODERS else plugin(a.decoder)
+            print(engine.ingest(spark, a.path, index, embedder, cfg, decoder, a.rebuild))
         elif a.command == "status":
             print(index.health())
         elif a.command == "query":
             q = spark.createDataFrame([(1, answers.check_question(a.question, a.top_k))], "question_id int, question string")
-            used, _ = evidence(retrieve(spark, q, index, embedder, cfg, a.top_k, a.type), cfg)
-            print("\n\n".join(r["block"] for r in used.orderBy("place").collect()))  # top_k rows
+            hits = engine.retrieve(q, index, embedder, cfg, a.top_k, a.type)
+            print(engine.answer(q, hits, completer, cfg).first()["rendered"])
         else:
-            scores = evaluate(spark, a.questions, index, embedder, cfg)
-            scores.select("question_id", "hit", "recall", "precision", "reciprocal_rank").show(truncate=False)
+            report = engine.evaluate_file(spark, a.questions, index, embedder, completer, cfg)
             if a.output:
-                scores.write.json(a.output)
+                spark.createDataFrame([(report,)], "value string").coalesce(1).write.text(a.output)
+            print(report)
     except PagemillError as e:
         print(e.user_message, file=sys.stderr)
         return 1

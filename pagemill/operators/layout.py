@@ -9,6 +9,8 @@ COVERED = 0.5
 LABEL_TOLERANCE = 6.0
 ROW_TOLERANCE = 3.0
 PROSE_SHARE = 0.35
+HEADER_BAND = 70.0
+BAND_MARGIN, BAND_GAP = 5.0, 1.0
 
 
 def covered_share(b: str, r: str) -> Column:
@@ -132,8 +134,19 @@ def full_label(label: Column, group: Column) -> Column:
     return F.when(F.coalesce(group, F.lit("")) == "", label).otherwise(F.concat(group, F.lit(" | "), label))
 
 
-def header_band(fragments: DataFrame, tables: DataFrame, table: list[str]) -> DataFrame:
-    """Fragments above their table, from its floor on, but for prose (wider than a good third of the table)."""
-    t = tables.select(*table, F.col("x0").alias("t_x0"), F.col("x1").alias("t_x1"), F.col("y0").alias("t_y0"), F.coalesce("floor", F.lit(0.0)).alias("t_floor"))
-    near = fragments.join(t, table).where("y >= t_floor and y < t_y0")
-    return near.where((F.col("x1") - F.col("x0")) <= PROSE_SHARE * (F.col("t_x1") - F.col("t_x0"))).select(*fragments.columns)
+def band_above(lines: DataFrame, tables: DataFrame, table: list[str], height: float) -> DataFrame:
+    """Lines (page, x0, y0, x1, ...) with the table whose band above they start in.
+
+    The band is ``height`` high, never reaches above the table's floor and is a little wider than the table,
+    whose edges come along as ``t_x0`` and ``t_x1``.
+    """
+    t = tables.select(*table, *[F.col(c).alias(f"t_{c}") for c in ("x0", "y0", "x1")], F.coalesce("floor", F.lit(0.0)).alias("t_floor"))
+    top = F.greatest(F.lit(0.0), F.col("t_y0") - height, F.col("t_floor"))
+    near = lines.join(t, [k for k in table if k != "table_no"]).where((F.col("y0") >= top) & (F.col("y0") < F.col("t_y0") - BAND_GAP))
+    return near.where((F.col("x1") >= F.col("t_x0") - BAND_MARGIN) & (F.col("x0") <= F.col("t_x1") + BAND_MARGIN)).drop("t_y0", "t_floor")
+
+
+def header_band(lines: DataFrame, tables: DataFrame, table: list[str], height: float = HEADER_BAND) -> DataFrame:
+    """Header fragments (table, text, x0, x1, y): lines near above their table, but for prose (wider than a good third of it)."""
+    narrow = (F.col("x1") - F.col("x0")) <= PROSE_SHARE * (F.col("t_x1") - F.col("t_x0"))
+    return band_above(lines, tables, table, height).where(narrow).select(*table, "text", "x0", "x1", F.col("y0").alias("y"))

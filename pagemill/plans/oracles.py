@@ -361,7 +361,7 @@ FROM firsts f LEFT JOIN bounds b ON b.document_id = f.document_id AND b.i = f.i"
     "table_markdown": f"WITH {CELLS} SELECT table_id, markdown FROM shown",
     "table_records": f"""WITH {CELLS},
 keyed AS (
-  SELECT c.table_id, dense_rank() OVER (PARTITION BY c.table_id ORDER BY row) - 1 AS pos, grp, CASE WHEN label = '' THEN 'column_' || grp ELSE label END AS k, value FROM collapsed c),
+  SELECT c.table_id, dense_rank() OVER (PARTITION BY c.table_id ORDER BY row) - 1 AS pos, grp, CASE WHEN grp = 0 THEN 'label' WHEN label = '' THEN 'column_' || grp ELSE label END AS k, value FROM collapsed c),
 lasts AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY table_id, pos, k ORDER BY grp DESC) = 1)
 SELECT table_id, pos, string_agg(k || '=' || value, ';' ORDER BY k) AS record FROM lasts GROUP BY 1, 2""",
     "units_caption": f"""WITH bands AS (

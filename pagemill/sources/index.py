@@ -10,7 +10,7 @@ import time
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.errors import IndexMissing, InvalidRequest, ModelMismatch
@@ -18,7 +18,13 @@ from pagemill.operators.lexical import corpus_stats, postings, term_stats
 
 
 def merge_by_key(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``new`` in place of the rows of ``existing`` with the same key; others stay."""
+    """``new`` in place of the rows of ``existing`` with the same key; others stay.
+
+    Of new rows with the same key one stays: that with the least values, in the order of the columns.
+    """
+    sortable = [c for c, t in new.dtypes if c != key and "map<" not in t]
+    first = Window.partitionBy(key).orderBy(*sortable) if sortable else Window.partitionBy(key).orderBy(key)
+    new = new.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
     return existing.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -84,6 +90,22 @@ class Index:
     def lexical(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         return self._read("postings"), self._read("terms"), self._read("stats")
 
+    def write_report(self, report: DataFrame) -> None:
+        """Append the report of an ingestion, a row for each document."""
+        report.withColumn("at", F.current_timestamp()).write.mode("append").json(f"{self.path}/reports")
+
+    def reports(self) -> DataFrame:
+        return self.spark.read.json(f"{self.path}/reports")
+
+    def write_images(self, images: DataFrame) -> None:
+        """Append images (document_id, pdf_page, img_no, image_id, content)."""
+        images.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/images")
+
+    def images(self) -> DataFrame:
+        """(image_id, document_id, pdf_page, content), the bytes as last stored, also in base64 for a prompt."""
+        last = self.spark.read.parquet(f"{self.path}/images").groupBy("image_id", "document_id", "pdf_page").agg(F.max_by("content", "at").alias("content"))
+        return last.withColumn("base64", F.base64("content"))
+
     def wait_until_ready(self, seconds: float = 30.0, every: float = 0.5) -> bool:
         """Whether the index has a build, after waiting for one for so long at most."""
         until = time.monotonic() + seconds

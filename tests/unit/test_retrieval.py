@@ -237,20 +237,21 @@ def test_summary_uses_own_rows(spark):
 
 
 def test_ingest_query_and_evaluate(spark, tmp_path):
-    from pagemill import cli
+    from pagemill import engine
 
     (tmp_path / "d").mkdir()
     pages = [f"REPORT HEAD\n{' '.join([w] * 3)} is the subject of page {i} and it says quite a lot about {w}.\nReport | {i + 1}" for i, w in enumerate(["apples", "pears", "plums", "cherries"])]
     (tmp_path / "d" / "doc.txt").write_text("\f".join(pages))
     index, e, cfg = Index(spark, str(tmp_path / "index")), vectors.HashingEmbedder(32), Config(dense_k=8)
-    assert cli.ingest(spark, str(tmp_path / "d"), index, e, cfg) == 4
+    assert engine.ingest(spark, str(tmp_path / "d"), index, e, cfg) == 5  # four pages and the inventory of figures
     q = spark.createDataFrame([(1, "what about plums")], "question_id int, question string")
-    used, text = cli.evidence(cli.retrieve(spark, q, index, e, cfg, 2), cfg)
+    used, text = engine.evidence(engine.retrieve(q, index, e, cfg, 2), cfg)
     best = used.orderBy("rank").first()
     assert best["pdf_page"] == 3 and best["printed_page"] == 3 and "REPORT" not in best["display_text"] and text.count() == 1
     path = tmp_path / "q.json"
     path.write_text(json.dumps({"document": "doc", "questions": [{"id": "a", "category": "text", "question": "pears", "expected_pages": [2], "answer_contains": [], "should_refuse": False}]}))
-    assert cli.evaluate(spark, str(path), index, e, cfg).first()["hit"]
+    report = json.loads(engine.evaluate_file(spark, str(path), index, e, answers.EchoCompleter(), cfg))
+    assert report["hit_rate"] == 1 and report["results"][0]["hit"] and report["config"]["dense_k"] == 8 and report["categories"][0]["category"] == "text"
 
 
 def test_zero_and_null_vectors_in_both_branches(spark):
