@@ -56,6 +56,40 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are pages of fifty documents; a lineitem is a line of two spans, two lines a block."""
+    line = F.col("line")
+    lead = F.when(line % 5 == 0, "Item 2. ").when(line % 5 == 1, "Note 3 – ").otherwise(" Lot 4 ")
+    rest = F.concat("l_returnflag", "l_linestatus", F.lit(" of "), (F.col("l_partkey") % 7).cast("string"))
+    bold = lambda c, v: F.when(c == v, "Times-BOLD").otherwise("Times")
+    x0, y0 = F.col("l_quantity") * 4, F.round(F.col("l_discount") * 2000)
+    rows = order_lines(spark, sf_dir).select(
+        (F.col("l_orderkey") % 50).cast("string").alias("document_id"), F.col("l_orderkey").cast("int").alias("pdf_page"), F.floor((line - 1) / 2).cast("int").alias("block_no"), ((line - 1) % 2).alias("line_no"),
+        x0.alias("lx0"), y0.alias("ly0"), (x0 + 30 + F.round(F.col("l_tax") * 1000)).alias("lx1"), (y0 + 20).alias("ly1"), (line % 3 + 7).cast("double").alias("size"),
+        F.posexplode(F.array(F.struct(lead.alias("text"), bold(F.col("l_returnflag") != "N", True).alias("font")), F.struct(rest.alias("text"), bold(F.col("l_linestatus"), "F").alias("font")))).alias("span_no", "s"),
+    )
+    block = Window.partitionBy("document_id", "pdf_page", "block_no")
+    edges = {"bx0": F.min("lx0").over(block), "by0": F.min("ly0").over(block), "bx1": F.max("lx1").over(block), "by1": F.max("ly1").over(block)}
+    return rows.withColumns({"text": F.col("s.text"), "font": F.col("s.font"), **edges}).drop("s")
+
+
+def band(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, tables): a table on the one page of each order, and the lines around it."""
+    line, y0 = F.col("line"), F.round(F.col("l_discount") * 2000)
+    text = F.when(line % 4 == 1, F.concat(F.lit("h"), line)).when(line % 4 == 2, F.concat(F.lit("The following table shows lot "), line, F.lit(":"))).when(line % 4 == 3, "(in units)").otherwise(F.concat(F.lit("Figure "), line, F.lit(" of sales")))
+    x0 = F.col("l_quantity") * 8
+    at = [F.col("l_orderkey").alias("document_id"), F.lit(1).alias("pdf_page")]
+    lines_ = order_lines(spark, sf_dir).select(
+        *at, line.alias("line_no"), text.alias("text"), x0.alias("x0"), y0.alias("y0"), (x0 + F.when(line % 4 == 2, 200.0).otherwise(40.0)).alias("x1"), (y0 + 10).alias("y1")
+    )
+    key = F.col("o_orderkey")
+    tables = table(spark, sf_dir, "orders").select(
+        key.alias("document_id"), F.lit(1).alias("pdf_page"), F.lit(0).alias("table_no"), F.lit(0.0).alias("x0"), F.lit(150.0).alias("y0"), F.lit(360.0).alias("x1"), F.lit(180.0).alias("y1"),
+        F.when(key % 3 == 0, 100.0).alias("floor"),
+    )
+    return lines_, tables
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is a table and a lineitem a row of seven raw columns, with stray symbols and negatives."""
     li = order_lines(spark, sf_dir)

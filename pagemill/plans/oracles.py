@@ -53,6 +53,15 @@ printed AS (
     ON f.document_id = l.document_id AND f.pdf_page = l.pdf_page
   GROUP BY 1, 2)"""
 
+STRIP_RUNS = """
+flagged AS (
+  SELECT m.*, (p.norm IS NOT NULL)::INT AS hit, CASE WHEN least(3, n // 2) = 0 THEN n ELSE least(3, n // 2) END AS most
+  FROM marked m LEFT JOIN profile p ON p.document_id = m.document_id AND p.norm = m.norm),
+runs AS (
+  SELECT *, min(hit) OVER (PARTITION BY document_id, pdf_page ORDER BY line_no) AS head, min(hit) OVER (PARTITION BY document_id, pdf_page ORDER BY line_no DESC) AS tail
+  FROM flagged)"""
+STRIP_KEEPS = "NOT (head = 1 AND line_no <= most) AND NOT (tail = 1 AND n - line_no + 1 <= most)"
+
 HEADS = f"""
 raw_heads AS (
   SELECT CAST(n_regionkey AS VARCHAR) AS document_id, n_nationkey // 10 + 1 AS pdf_page, (n_nationkey % 10 * 60)::DOUBLE AS top, n_nationkey AS ord,
@@ -312,15 +321,7 @@ FUSED_COLUMNS = "SELECT question_id, chunk_id, score, boost, dense_rank, lexical
 SQL: dict[str, str] = {
     "line_normalise": f"WITH {pages(False)} SELECT document_id, pdf_page, line_no, {NORM.format('text')} AS norm FROM lines",
     "furniture_profile": f"WITH {edges(False)} SELECT * FROM profile",
-    "furniture_strip": f"""WITH {edges(True)},
-flagged AS (
-  SELECT m.*, (p.norm IS NOT NULL)::INT AS hit, CASE WHEN least(3, n // 2) = 0 THEN n ELSE least(3, n // 2) END AS most
-  FROM marked m LEFT JOIN profile p ON p.document_id = m.document_id AND p.norm = m.norm),
-runs AS (
-  SELECT *, min(hit) OVER (PARTITION BY document_id, pdf_page ORDER BY line_no) AS head, min(hit) OVER (PARTITION BY document_id, pdf_page ORDER BY line_no DESC) AS tail
-  FROM flagged)
-SELECT document_id, pdf_page, line_no, text FROM runs
-WHERE NOT (head = 1 AND line_no <= most) AND NOT (tail = 1 AND n - line_no + 1 <= most)""",
+    "furniture_strip": f"WITH {edges(True)}, {STRIP_RUNS} SELECT document_id, pdf_page, line_no, text FROM runs WHERE {STRIP_KEEPS}",
     "printed_page": f"{PRINTED} SELECT * FROM printed",
     "page_offset": f"{PRINTED} SELECT document_id, CASE WHEN count(DISTINCT pdf_page - printed_page) = 1 THEN max(pdf_page - printed_page) END AS page_offset FROM printed GROUP BY 1",
     "heading_classify": f"WITH {HEADS} SELECT ord::BIGINT AS ord, text, kind FROM heads",
@@ -511,17 +512,17 @@ packed AS (
 SELECT document_id, pdf_page::INT AS pdf_page, (row_number() OVER (PARTITION BY document_id, pdf_page ORDER BY anchor) - 1)::INT AS chunk_no, anchor, body
 FROM packed WHERE length(body) >= 50"""
 
-FOLD_ROWS = f"""{BOXES},
-frags AS (SELECT document_id, 'f' || box_no AS text, x0, x0 + 40 AS x1, y0 / 20 AS y FROM boxes),
+BOX_FRAGMENTS = f"""{BOXES},
+frags AS (SELECT document_id, 'f' || box_no AS text, x0, x0 + 40 AS x1, y0 / 20 AS y FROM boxes)"""
+ROW_FOLD = """
 seq AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY y, x0, x1, text) AS i FROM frags),
 row_fold AS (
   SELECT document_id, i, 0::BIGINT AS row, y AS first, y, x0, x1, text FROM seq WHERE i = 1
   UNION ALL
   SELECT s.document_id, s.i, CASE WHEN abs(s.y - f.first) <= 3 THEN f.row ELSE f.row + 1 END, CASE WHEN abs(s.y - f.first) <= 3 THEN f.first ELSE s.y END, s.y, s.x0, s.x1, s.text
   FROM row_fold f JOIN seq s ON s.document_id = f.document_id AND s.i = f.i + 1)"""
-SQL["header_rows"] = f"WITH RECURSIVE {FOLD_ROWS} SELECT document_id, row, string_agg(text, ' ' ORDER BY x0, i) AS row_text FROM row_fold GROUP BY 1, 2"
-SQL["header_columns"] = f"""
-WITH RECURSIVE {FOLD_ROWS},
+SQL["header_rows"] = f"WITH RECURSIVE {BOX_FRAGMENTS}, {ROW_FOLD} SELECT document_id, row, string_agg(text, ' ' ORDER BY x0, i) AS row_text FROM row_fold GROUP BY 1, 2"
+HEADER_COLUMNS = """
 sized AS (SELECT *, count(*) OVER (PARTITION BY document_id, row) AS m FROM row_fold),
 kept AS (SELECT *, max(m) OVER (PARTITION BY document_id) AS widest, min(row) OVER (PARTITION BY document_id) AS top, max(row) OVER (PARTITION BY document_id) AS bottom FROM sized WHERE m >= 2),
 kept2 AS (SELECT *, max(CASE WHEN row = top THEN m END) OVER (PARTITION BY document_id) AS m_top FROM kept),
@@ -529,10 +530,10 @@ body AS (
   SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY row, x0, i) AS k FROM kept2 WHERE NOT (bottom > top AND row = top AND m_top < widest)),
 tops AS (SELECT document_id, text AS label, x0, x1 FROM kept2 WHERE bottom > top AND row = top AND m_top < widest),
 col_fold AS (
-  SELECT document_id, k, [[{{'x0': x0, 'x1': x1, 't': text}}]] AS cols FROM body WHERE k = 1
+  SELECT document_id, k, [[{'x0': x0, 'x1': x1, 't': text}]] AS cols FROM body WHERE k = 1
   UNION ALL
   SELECT document_id, k, CASE WHEN pos IS NULL OR pos = 0 THEN list_append(cols, [f]) ELSE list_concat(list_concat(cols[1:pos - 1], [list_append(cols[pos], f)]), cols[pos + 1:]) END
-  FROM (SELECT c.document_id, b.k, cols, {{'x0': b.x0, 'x1': b.x1, 't': b.text}} AS f,
+  FROM (SELECT c.document_id, b.k, cols, {'x0': b.x0, 'x1': b.x1, 't': b.text} AS f,
                list_position(list_transform(cols, lambda c: len(list_filter(c, lambda e: e.x0 < b.x1 AND b.x0 < e.x1)) > 0), true) AS pos
         FROM col_fold c JOIN body b ON b.document_id = c.document_id AND b.k = c.k + 1)),
 done AS (SELECT document_id, unnest(cols) AS c FROM (SELECT * FROM col_fold QUALIFY k = max(k) OVER (PARTITION BY document_id))),
@@ -546,6 +547,85 @@ firsts AS (
          coalesce(min(b.i) FILTER (b.high IS NULL OR (l.x0 + l.x1) / 2 <= b.high), max(n)) AS i
   FROM leaves l LEFT JOIN bounds b ON b.document_id = l.document_id GROUP BY l.leaf)
 SELECT f.document_id, f.label, f.x0, f.x1, b.label AS grp FROM firsts f LEFT JOIN bounds b ON b.document_id = f.document_id AND b.i = f.i"""
+SQL["header_columns"] = f"WITH RECURSIVE {BOX_FRAGMENTS}, {ROW_FOLD}, {HEADER_COLUMNS}"
+
+# Orders with one table at 0..360 by 150..180 and lines around it; every third knows a floor at 100.
+BAND = """
+li AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag) AS line FROM lineitem),
+around AS (
+  SELECT l_orderkey AS document_id, line AS line_no, l_quantity * 8 AS x0, round(l_discount * 2000) AS y0, l_quantity * 8 + CASE WHEN line % 4 = 2 THEN 200 ELSE 40 END AS x1,
+         CASE line % 4 WHEN 1 THEN 'h' || line WHEN 2 THEN 'The following table shows lot ' || line || ':' WHEN 3 THEN '(in units)' ELSE 'Figure ' || line || ' of sales' END AS text,
+         CASE WHEN l_orderkey % 3 = 0 THEN 100 ELSE 0 END AS floor
+  FROM li WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+beside AS (SELECT * FROM around WHERE x1 >= -5 AND x0 <= 365 AND y0 < 149),
+frags AS (SELECT document_id, text, x0, x1, y0 AS y FROM beside WHERE y0 >= greatest(80, floor) AND x1 - x0 <= 0.35e0 * 360)"""
+SQL["header_band"] = f"WITH {BAND} SELECT * FROM frags"
+SQL["header_recover"] = f"WITH RECURSIVE {BAND}, {ROW_FOLD}, {HEADER_COLUMNS}"
+SQL["table_context"] = f"""WITH {BAND},
+joined AS (SELECT document_id, string_agg(text, ' ' ORDER BY line_no) AS band FROM beside WHERE y0 >= floor GROUP BY 1)
+SELECT document_id, regexp_extract_all(band, {q(CAPTION)})[-1] AS caption, regexp_extract_all(band, {q(UNITS)})[-1] AS units FROM joined"""
+SQL["figure_context"] = f"""WITH {BAND},
+images AS (SELECT o_orderkey AS document_id, o_orderkey % 50 * 5 AS width, o_custkey % 30 * 5 AS height FROM orders WHERE NOT (o_orderkey % 50 * 5 < 32 AND o_custkey % 30 * 5 < 32)),
+near AS (
+  SELECT document_id, string_agg(text, ' ' ORDER BY line_no) AS words, min_by(text, line_no) FILTER (starts_with(text, 'Figure')) AS caption
+  FROM around WHERE y0 + 10 >= 40 AND y0 <= 180 GROUP BY 1)
+SELECT document_id, caption, coalesce(words, '') AS surrounding_text, caption IS NULL AND greatest(width, height) <= 120 AS is_decorative FROM images LEFT JOIN near USING (document_id)"""
+
+SPANS = """
+li AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag) AS line FROM lineitem),
+lined AS (
+  SELECT CAST(l_orderkey % 50 AS VARCHAR) AS document_id, l_orderkey AS pdf_page, (line - 1) // 2 AS block_no, line AS line_no, l_quantity * 4 AS x0, round(l_discount * 2000) AS y0,
+         l_quantity * 4 + 30 + round(l_tax * 1000) AS x1, round(l_discount * 2000) + 20 AS y1, line % 3 + 7 AS size, l_returnflag <> 'N' AND l_linestatus = 'F' AS bold,
+         CASE line % 5 WHEN 0 THEN 'Item 2. ' WHEN 1 THEN 'Note 3 – ' ELSE 'Lot 4 ' END || l_returnflag || l_linestatus || ' of ' || l_partkey % 7 AS text
+  FROM li),
+marked AS (SELECT *, regexp_replace(lower(text), '[0-9]+', '#', 'g') IN ('lot # nf of #', 'item #. ro of #') AS gone FROM lined)"""
+SQL["heading_scan"] = f"""WITH {SPANS}
+SELECT document_id, pdf_page, y0 AS top, text, CASE WHEN starts_with(text, 'Item') THEN 'item' WHEN starts_with(text, 'Note') THEN 'note' ELSE 'subsection' END AS kind, size::DOUBLE AS size
+FROM marked WHERE bold AND size >= 8 AND NOT gone"""
+SQL["span_lines"] = f"WITH {SPANS} SELECT document_id, pdf_page, block_no, line_no, text, x0, y0, x1, y1 FROM lined"
+SQL["text_blocks"] = f"""WITH {SPANS},
+boxed AS (
+  SELECT document_id, pdf_page, block_no, line_no, text, gone, min(x0) OVER w AS x0, min(y0) OVER w AS y0, max(x1) OVER w AS x1, max(y1) OVER w AS y1
+  FROM marked WINDOW w AS (PARTITION BY document_id, pdf_page, block_no)),
+free AS (
+  SELECT b.* FROM boxed b JOIN lined r ON r.document_id = b.document_id AND r.pdf_page = b.pdf_page AND r.line_no = 1
+  WHERE NOT b.gone AND greatest(0, least(b.x1, r.x1) - greatest(b.x0, r.x0)) * greatest(0, least(b.y1, r.y1) - greatest(b.y0, r.y0)) <= 0.5e0 * (b.x1 - b.x0) * (b.y1 - b.y0))
+SELECT document_id, pdf_page, block_no, string_agg(text, ' ' ORDER BY line_no) AS text, any_value(x0) AS x0, any_value(y0) AS y0, any_value(x1) AS x1, any_value(y1) AS y1 FROM free GROUP BY 1, 2, 3"""
+
+SQL["page_records"] = f"""{PRINTED}, {STRIP_RUNS},
+left_over AS (SELECT document_id, pdf_page, count(*) AS n_lines, string_agg(text, chr(10) ORDER BY line_no) AS body FROM runs WHERE {STRIP_KEEPS} GROUP BY 1, 2),
+counted AS (SELECT document_id, pdf_page, count(*) AS raw_line_count FROM lines GROUP BY 1, 2)
+SELECT document_id, pdf_page, printed_page, raw_line_count, coalesce(n_lines, 0) AS n_lines, md5(coalesce(body, '')) AS text_md5
+FROM counted JOIN printed USING (document_id, pdf_page) LEFT JOIN left_over USING (document_id, pdf_page)"""
+SQL["embed_batches"] = "SELECT doc_id, " + ", ".join(f"length(text) - length(replace(text, '{v}', '')) AS n_{v}" for v in "aeiou") + " FROM documents"
+SQL["prompt_text"] = f"""{USED},
+texts AS (SELECT question_id, '<<<EVIDENCE' || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY place) || chr(10) || 'EVIDENCE>>>' AS evidence FROM used WHERE question_id % 2 = 1 GROUP BY 1)
+SELECT item_id AS question_id, md5('Question: ' || text || chr(10) || chr(10) || coalesce(evidence, 'Nothing was retrieved for this question. Say that the documents do not answer it.')) AS prompt_md5
+FROM benchmark LEFT JOIN texts ON question_id = item_id"""
+SQL["answer_flow"] = f"""{USED},
+shown AS (SELECT * FROM used WHERE question_id % 5 <> 0),
+listed AS (
+  SELECT question_id, count(*) AS n, min_by(citation, place) AS first_citation,
+         bool_or((content_type = 'figure' AND NOT is_decorative) OR (content_type = 'table' AND validation <> 'ok')) AS vision,
+         'Sources:' || chr(10) || string_agg('  - ' || citation || ' — ' || content_type || ' — ' || location
+           || CASE WHEN content_type = 'table' AND validation <> 'ok' THEN '  [structure unverified]' WHEN content_type = 'figure' AND is_decorative THEN '  [decorative image]' ELSE '' END,
+           chr(10) ORDER BY pdf_page, rank) AS sources
+  FROM shown GROUP BY 1),
+kinds AS (SELECT question_id, content_type, count(*) AS m FROM hits WHERE question_id % 5 <> 0 GROUP BY 1, 2),
+mixes AS (SELECT question_id, sum(m)::BIGINT AS n_hits, string_agg(content_type || '=' || m, ', ' ORDER BY content_type) AS mix FROM kinds GROUP BY 1),
+named AS (
+  SELECT item_id AS question_id, {routes("text")} FROM benchmark),
+parts AS (
+  SELECT b.question_id, coalesce(n, 0) AS n, coalesce(vision, false) AS vision, coalesce(n_hits, 0) AS n_hits, coalesce(mix, 'none') AS mix, first_citation,
+         coalesce(sources, 'Sources: none — no supporting evidence was retrieved.') AS sources,
+         coalesce(nullif(concat_ws(', ', CASE WHEN bias_text > 0 THEN 'text' END, CASE WHEN bias_table > 0 THEN 'table' END, CASE WHEN bias_figure > 0 THEN 'figure' END), ''), 'no preference') AS routed
+  FROM named b LEFT JOIN listed USING (question_id) LEFT JOIN mixes USING (question_id))
+SELECT question_id, n || ' sources' AS answer, n = 0 AS refused, CASE WHEN vision THEN 'vision' ELSE 'text' END AS model, n_hits, n AS n_cited, first_citation,
+       md5(CASE WHEN n = 0 THEN 'No supported answer found.' || chr(10) || chr(10) ELSE '' END || n || ' sources' || chr(10) || chr(10) || sources || chr(10) || chr(10)
+         || '[' || CASE WHEN vision THEN 'vision' ELSE 'text' END || ' | routed: ' || routed || ' | vision: ' || vision || ' | ' || n_hits || ' chunks (' || mix || ')]') AS rendered_md5
+FROM parts"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagemill import engine
 from pagemill.config import DEFAULT
 from pagemill.functions import text as T
-from pagemill.operators import answers, chunking, context, evaluation, figures, furniture, fusion, layout, lexical, sections, tables, vectors
+from pagemill.operators import answers, blocks, chunking, context, evaluation, extraction, figures, furniture, fusion, layout, lexical, sections, tables, vectors
 from pagemill.plans import inputs
 from pagemill.sources.index import merge_by_key
 from pagemill.streaming.upsert import arrivals
@@ -53,6 +54,16 @@ def page_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return furniture.page_offsets(_printed(spark, sf_dir)).select("document_id", long("page_offset"))
 
 
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a footer: printed number, lines before and after the furniture went."""
+    rows = inputs.lines(spark, sf_dir, footer=True)
+    profile = furniture.furniture_profile(rows)
+    loaded = extraction.Loaded(rows, rows, profile, rows, furniture.printed_pages(rows, profile))
+    out = extraction.page_records(loaded)
+    text = F.md5(F.array_join("lines", "\n")).alias("text_md5")
+    return out.select("document_id", long("pdf_page"), long("printed_page"), "raw_line_count", F.size("lines").cast("long").alias("n_lines"), text)
+
+
 # Headings and sections
 
 
@@ -64,6 +75,29 @@ def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.headings(spark, sf_dir).withColumn("kind", T.heading_kind(F.col("text")))
 
 
+def _gone(spans: DataFrame) -> DataFrame:
+    return spans.select("document_id", F.explode(F.array(F.lit("lot # nf of #"), F.lit("item #. ro of #"))).alias("norm")).distinct()
+
+
+def heading_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings among the lines of all spans: bold throughout, large enough, no furniture."""
+    spans = inputs.spans(spark, sf_dir)
+    return sections.headings(spans, _gone(spans)).select("document_id", long("pdf_page"), "top", "text", "kind", "size")
+
+
+def span_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans joined to lines, which are numbered through their page."""
+    out = extraction.span_lines(inputs.spans(spark, sf_dir))
+    return out.select("document_id", long("pdf_page"), long("block_no"), long("line_no"), "text", "x0", "y0", "x1", "y1")
+
+
+def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks outside regions (the first line of each page), without furniture lines."""
+    spans = inputs.spans(spark, sf_dir)
+    regions = extraction.span_lines(spans).where("line_no = 1").select("document_id", "pdf_page", "x0", "y0", "x1", "y1")
+    return blocks.text_blocks(spans, regions, _gone(spans)).select("document_id", long("pdf_page"), long("block_no"), "text", "x0", "y0", "x1", "y1")
+
+
 def section_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sections.section_states(_heads(spark, sf_dir), ["document_id"], ["pdf_page", "top"])
     return out.select("document_id", long("pdf_page"), "top", *sections.LEVELS)
@@ -153,6 +187,36 @@ def header_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("document_id", "label", "x0", "x1", F.col("group").alias("grp"))
 
 
+KEYS = ["document_id", "pdf_page", "table_no"]
+
+
+def header_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header fragments above every table."""
+    return layout.header_band(*inputs.band(spark, sf_dir), KEYS).select("document_id", "text", "x0", "x1", "y")
+
+
+def header_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf headers with their groups, from the lines above every table."""
+    out = extraction.recover_headers(*inputs.band(spark, sf_dir))
+    return out.select("document_id", "label", "x0", "x1", F.col("group").alias("grp"))
+
+
+def table_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Caption and units from the band above every table that has lines there."""
+    lines, at = inputs.band(spark, sf_dir)
+    return tables.context_of(tables.band_lines(lines, at, KEYS), KEYS).select("document_id", "caption", "units")
+
+
+def figure_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image for each order, with the lines near it."""
+    o = F.col("o_orderkey")
+    images = inputs.table(spark, sf_dir, "orders").select(
+        o.alias("document_id"), F.lit(1).alias("pdf_page"), F.lit(0).alias("img_no"), (o % 50 * 5).cast("int").alias("width"), (F.col("o_custkey") % 30 * 5).cast("int").alias("height"),
+        F.lit(0.0).alias("x0"), F.lit(100.0).alias("y0"), F.lit(60.0).alias("x1"), F.lit(120.0).alias("y1"),
+    )
+    return figures.figures(images, inputs.band(spark, sf_dir)[0]).select("document_id", "caption", "surrounding_text", "is_decorative")
+
+
 # Tables
 
 
@@ -340,6 +404,21 @@ def cosine_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.cosine_topk(inputs.question_vectors(spark, sf_dir), v, DEFAULT.dense_k).select("question_id", "chunk_id", "score", long("rank"))
 
 
+class VowelCounts:
+    """An embedder that SQL can restate: how often each vowel stands in a text."""
+
+    name, dimension = "vowels", 5
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(t.count(v)) for v in "aeiou"] for t in texts]
+
+
+def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through an embedder, batch by batch."""
+    docs = vectors.embed_texts(inputs.table(spark, sf_dir, "documents").select("doc_id", "text"), VowelCounts(), "text")
+    return docs.select("doc_id", *[F.get("embedding", F.lit(i)).cast("long").alias(f"n_{v}") for i, v in enumerate("aeiou")])
+
+
 # Routing and fusion
 
 
@@ -415,6 +494,22 @@ def context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("question_id", F.md5("evidence").alias("evidence_md5"), "n_used", long("n_dropped"), long("characters"))
 
 
+def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is asked for each question; those of even number get no evidence."""
+    made = context.build_context(_used(spark, sf_dir)).where("question_id % 2 = 1").select("question_id", "evidence")
+    rows = inputs.questions(spark, sf_dir).join(made, "question_id", "left").fillna("", ["evidence"])
+    return rows.select("question_id", F.md5(T.prompt(F.col("question"), F.col("evidence"))).alias("prompt_md5"))
+
+
+def answer_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a stand-in that cites all it is shown, or refuses; questions of a number divisible by 5 have no hits."""
+    hits = _hits(spark, sf_dir).where("question_id % 5 <> 0")
+    out = engine.answer(inputs.questions(spark, sf_dir), hits, answers.EchoCompleter())
+    n = F.coalesce(F.size(F.filter("evidence", lambda e: e["cited"])), F.lit(0)).cast("long")
+    first = F.try_element_at("evidence", F.lit(1))["citation"]
+    return out.select("question_id", "answer", "refused", "model", long("n_hits"), n.alias("n_cited"), first.alias("first_citation"), F.md5("rendered").alias("rendered_md5"))
+
+
 def vision_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.vision_pages(_used(spark, sf_dir)).select("question_id", "document_id", long("pdf_page"), long("place"))
 
@@ -534,7 +629,8 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    line_normalise, furniture_profile, furniture_strip, printed_page, page_offset, heading_classify, section_state, section_asof,
+    line_normalise, furniture_profile, furniture_strip, printed_page, page_offset, page_records, heading_scan, span_lines, text_blocks, header_band, header_recover,
+    table_context, figure_context, prompt_text, answer_flow, embed_batches, heading_classify, section_state, section_asof,
     provenance_labels, region_antijoin, table_floor, header_assign, header_groups, header_rows, header_columns, column_classify,
     table_collapse, table_validate, table_markdown, table_records, units_caption, chunk_pack, figure_flags, figure_inventory,
     table_chunk_text, chunk_union, chunk_order, table_number, header_spans, cited_evidence, ingest_report, tokenize_stats, term_stats, bm25_topk, bm25_filtered, cosine_topk, cosine_filtered,
