@@ -49,6 +49,8 @@ def test_cosine_block_and_join_agree(spark):
     rows = lambda df: sorted((r["question_id"], r["rank"], r["chunk_id"], round(r["score"], 5)) for r in df.collect())
     block = rows(vectors.cosine_topk(q, vecs, 5))
     assert block == rows(vectors.cosine_topk_joined(q, vecs.where("chunk_id < 300"), 5))
+    assert block == rows(vectors.cosine_topk_joined(q, vecs, 5, block=3, part=2)) == rows(vectors.cosine_topk(q, vecs, 5, Config(max_broadcast_questions=3)))
+    assert vectors.cosine_topk_joined(q.where("false"), vecs, 5).collect() == vectors.cosine_topk_joined(q, vecs.where("false"), 5).collect() == []
     assert all(r[2] == r[0] for r in block if r[1] == 1)
     assert vectors.cosine_topk(q.where("false"), vecs, 5).collect() == []
 
