@@ -6,11 +6,12 @@ import argparse
 import importlib
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from pagemill import engine
 from pagemill.config import Config
-from pagemill.errors import InvalidRequest, PagemillError
+from pagemill.errors import InvalidRequest, PagemillError, from_worker
 from pagemill.operators import answers, vectors
 from pagemill.sources.documents import JsonDecoder, PlainTextDecoder
 from pagemill.sources.index import Index
@@ -68,6 +69,12 @@ def main(argv: list[str] | None = None) -> int:
     except PagemillError as e:
         print(e.user_message, file=sys.stderr)
         return 1
+    except PySparkException as e:
+        known = from_worker(str(e))
+        if known is None:
+            raise
+        print(known.user_message, file=sys.stderr)
+        return 1
     return 0
 
 

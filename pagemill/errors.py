@@ -60,3 +60,18 @@ class InvalidRequest(PagemillError):
 
 class InvalidChunk(PagemillError):
     user_message = "A chunk's payload does not match its type."
+
+
+def from_worker(message: str) -> PagemillError | None:
+    """The library's error that a Python worker's traceback ends with, as Spark hands it to the driver; else none."""
+    kinds: dict[str, type[PagemillError]] = {}
+    open_ = [PagemillError]
+    while open_:
+        kind = open_.pop()
+        kinds[f"{kind.__module__}.{kind.__name__}"] = kind
+        open_ += kind.__subclasses__()
+    for line in reversed(message.splitlines()):
+        name, _, detail = line.strip().partition(": ")
+        if name in kinds:
+            return kinds[name](detail)
+    return None

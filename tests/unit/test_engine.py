@@ -4,10 +4,12 @@ import base64
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from pagemill import cli, engine
 from pagemill.config import Config
+from pagemill.errors import CompletionError, EmbeddingError, from_worker
 from pagemill.operators import answers, extraction, vectors
 from pagemill.schemas import CELLS, IMAGES, SPANS
 from pagemill.sources.documents import JsonDecoder, read_part, read_spans
@@ -156,6 +158,24 @@ def test_command_line_plugins():
         cli.plugin("pagemill.nothing:Here")
 
 
+def test_errors_of_workers_keep_their_kind(spark):
+    class Down:
+        name, dimension = "down", 2
+
+        def embed(self, texts):
+            raise EmbeddingError("quota")
+
+        def complete(self, system, prompts):
+            return []
+
+    rows = spark.createDataFrame([("q", "e", False)], "question string, evidence string, needs_vision boolean")
+    for made, kind in ((vectors.embed_texts(rows, Down(), "question"), EmbeddingError), (answers.complete(rows, Down()), CompletionError)):
+        with pytest.raises(PySparkException) as e:
+            made.collect()
+        assert type(from_worker(str(e.value))) is kind
+    assert from_worker("ValueError: no") is None
+
+
 def test_new_rows_with_the_same_key(spark):
     old = spark.createDataFrame([("a", "x"), ("b", "y")], "k string, v string")
     new = spark.createDataFrame([("a", "2"), ("a", "1"), ("c", "3")], "k string, v string")
