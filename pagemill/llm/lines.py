@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import arrow_pass, bits_apart, bucket_members, discard, join_unique, linked, materialise, open_pairs, quoted, salts_for
+from pagemill.llm.common import arrow_pass, bits_apart, discard, join_unique, linked, materialise, open_pairs, quoted
 
 MIN_WORDS = 5
 PERCENT = 75
@@ -37,6 +38,11 @@ BITS = 512
 #: Open buckets of more members are searched in parts of so many; pairs of smaller ones are joined, so that a
 #: member has at most CROWD pairs in a bucket.
 CROWD, SEARCH = 64, 256
+#: Distances are taken together for as many pairs as need CELLS words of 64 bits; shorter sides of more than WIDE
+#: words are taken one by one.
+CELLS, WIDE = 2048, 64
+#: Band keys that a task holds at once, and keys in a part of all keys.
+HELD, PART_KEYS = 1 << 19, 1 << 18
 _FACTORS = np.random.default_rng(6).integers(1 << 62, 1 << 63, BANDS * (WORD_MINS + 1), np.uint64) | np.uint64(1)
 _ZEROS = re.compile(rb"00+")
 _FOLD = bytes(b"0"[0] if chr(b).isdigit() and b < 128 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -183,6 +189,19 @@ def parities(text: str) -> np.ndarray:
     return np.packbits((bigrams(text) & 1).astype(np.uint8)).view(np.int64)
 
 
+def parities_of(texts: list[str]) -> np.ndarray:
+    """``parities`` of many texts, one row for each."""
+    out = np.empty((len(texts), BITS // 64), np.int64)
+    for begin in range(0, len(texts), 1024):
+        x, n = _codes(texts[begin : begin + 1024])
+        row = np.repeat(np.arange(len(n)), n)
+        place = (x[:-1] * np.uint32(0x9E3779B1) + x[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(33 - BITS.bit_length())
+        inside = row[1:] == row[:-1]
+        counts = np.bincount(row[1:][inside] * BITS + place[inside], minlength=len(n) * BITS)
+        out[begin : begin + len(n)] = np.packbits((counts & 1).astype(np.uint8)).view(np.int64).reshape(len(n), -1)
+    return out
+
+
 def may_link(x: str, y: str) -> Column:
     """Holds for all alike lines: lengths within PERCENT, and at most four parities turned by each edit."""
     n, k = F.col(f"{x}.size"), F.col(f"{y}.size")
@@ -190,13 +209,118 @@ def may_link(x: str, y: str) -> Column:
     return (100 * F.least(n, k) >= PERCENT * F.greatest(n, k)) & (bits_apart(x, y, BITS // 64) <= 4 * most)
 
 
+def shared(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, one after the other, and the lengths of the texts."""
+    x = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return x, np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def _distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Levenshtein distances of pairs whose ``a`` all need equally many words of 64 bits, by blocks of bits as in
+    ``distance_at_most``. Word w of a column is done w steps after word 0, so all words of all pairs go at once."""
+    n, (x, la), (y, lb) = len(a), _codes(a), _codes(b)
+    words = int(-(-la[0] // 64))
+    ids = np.zeros(int(max(x.max(), y.max())) + 1, np.int64)
+    ids[x] = 1
+    ids = np.where(ids == 1, np.cumsum(ids), 0)  # characters that no ``a`` has are 0
+    where = np.zeros((int(ids.max()) + 1, words, n), np.uint64)
+    row, at = np.repeat(np.arange(n), la), np.arange(len(x)) - np.repeat(np.cumsum(la) - la, la)
+    order = np.argsort(at, kind="stable")  # one place of every text at a time: no cell is named twice
+    row, code, ends = row[order], ids[x[order]], np.searchsorted(at[order], np.arange(la.max() + 1))
+    for k in range(int(la.max())):
+        s = slice(ends[k], ends[k + 1])
+        where[code[s], k // 64, row[s]] |= np.uint64(1 << k % 64)
+    where = where.ravel()
+    steps = int(lb.max()) + words
+    text = np.zeros((steps + words, n), np.int64)  # from row ``words`` on, column by column
+    text[np.arange(len(y)) - np.repeat(np.cumsum(lb) - lb, lb) + words, np.repeat(np.arange(n), lb)] = ids[y] * (words * n)
+    cell = np.arange(words * n).reshape(words, n)
+    one, last, top = np.uint64(1), np.uint64(63), ((la - 1) % 64).astype(np.uint64)
+    up, down = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    more, less = np.zeros((words + 1, n), np.uint64), np.zeros((words + 1, n), np.uint64)  # what enters a word from below
+    more[0] = 1  # the row above all words counts columns
+    score = la.copy()
+    same, idx, t, rise, fall, keep = (np.empty((words, n), k) for k in (np.uint64, np.int64, *[np.uint64] * 4))
+    for step in range(steps - 1):
+        w = min(step + 1, words)  # words that have begun
+        S, I, T, R, D, K = same[:w], idx[:w], t[:w], rise[:w], fall[:w], keep[:w]
+        P, M, hp, hm = up[:w], down[:w], more[:w], less[:w]
+        np.add(text[step + words - w + 1 : step + words + 1][::-1], cell[:w], out=I)
+        np.take(where, I, out=S)
+        np.bitwise_or(S, M, out=K)
+        np.bitwise_or(S, hm, out=S)
+        np.bitwise_and(S, P, out=T)
+        np.add(T, P, out=T)
+        np.bitwise_xor(T, P, out=T)
+        np.bitwise_or(T, S, out=T)
+        np.bitwise_or(T, P, out=R)
+        np.invert(R, out=R)
+        np.bitwise_or(R, M, out=R)
+        np.bitwise_and(P, T, out=D)
+        if step >= words - 1:
+            change = (rise[-1] >> top & one).astype(np.int64) - (fall[-1] >> top & one).astype(np.int64)
+            score += np.where(step - words + 1 < lb, change, 0)
+        np.left_shift(R, one, out=T)
+        np.bitwise_or(T, hp, out=T)
+        np.left_shift(D, one, out=P)
+        np.bitwise_or(P, hm, out=P)
+        np.right_shift(R, last, out=more[1 : w + 1])
+        np.right_shift(D, last, out=less[1 : w + 1])
+        np.bitwise_and(T, K, out=M)
+        np.bitwise_or(T, K, out=T)
+        np.invert(T, out=T)
+        np.bitwise_or(P, T, out=P)
+    return score
+
+
+def alike_many(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """``alike`` of many pairs: like lengths are measured together."""
+    out = np.zeros(len(pairs), bool)
+    todo: dict[int, list] = {}
+    for i, (a, b) in enumerate(pairs):
+        if len(a) > len(b):
+            a, b = b, a
+        most = (100 - PERCENT) * len(b) // 100
+        if len(b) - len(a) > most:
+            continue
+        n = shared(a, b)
+        a, b = a[n:], b[n:]
+        if n := shared(a[::-1], b[::-1]):
+            a, b = a[:-n], b[:-n]
+        if len(b) <= most:
+            out[i] = True
+        elif len(a) > 64 * WIDE:
+            out[i] = may_be_alike(*pairs[i]) and distance_at_most(a, b, most)
+        elif a:
+            todo.setdefault(-(-len(a) // 64), []).append((len(b), i, a, b, most))
+    for words, own in todo.items():
+        own.sort(key=lambda p: p[:2])
+        step = max(8, CELLS // words)
+        for k in range(0, len(own), step):
+            _, at, a, b, most = zip(*own[k : k + step], strict=True)
+            out[list(at)] = _distances(list(a), list(b)) <= np.array(most)
+    return out
+
+
 def _links_of(group: pa.Table, hashes: WordHashes) -> list[tuple[int, int]]:
     """Links between different components in one (part of a) bucket that join them, each in its first common bucket."""
     column = lambda c: group.column(c).to_numpy()
     node, label, size, part = column("node"), column("label"), column("size").astype(np.int64), column("part")
     matrix = lambda c: group.column(c).combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-    bits, texts = matrix("bits").view(np.uint64), group.column("text")
-    bands = line_bands([t.encode().split() for t in texts.to_pylist()], hashes).view(np.int64)
+    bits, texts = matrix("bits").view(np.uint64), group.column("text").to_pylist()
+    bands = line_bands([t.encode().split() for t in texts], hashes).view(np.int64)
     bucket, big, crossed = group.column("bucket")[0].as_py(), group.column("big")[0].as_py(), column("low")[0] != column("high")[0]
     now: dict[int, int] = {}  # labels joined by the links found here
 
@@ -205,7 +329,16 @@ def _links_of(group: pa.Table, hashes: WordHashes) -> list[tuple[int, int]]:
             x = y
         return x
 
-    out = []
+    out, waiting = [], []
+
+    def settle() -> None:
+        met = [(x, y) for x, y in waiting if root(label[x]) != root(label[y])]
+        waiting.clear()
+        for (x, y), good in zip(met, alike_many([(texts[x], texts[y]) for x, y in met]), strict=True):
+            if good and root(label[x]) != root(label[y]):
+                out.append((min(node[x], node[y]), max(node[x], node[y])))
+                now[root(label[x])] = root(label[y])
+
     for x in np.flatnonzero(label != big):
         longer = np.maximum(size, size[x])
         fits = (label != label[x]) & ((label == big) | (node > node[x])) & (100 * np.minimum(size, size[x]) >= PERCENT * longer)
@@ -215,12 +348,10 @@ def _links_of(group: pa.Table, hashes: WordHashes) -> list[tuple[int, int]]:
         apart = np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1)
         near = near[apart <= 4 * ((100 - PERCENT) * longer[near] // 100)]
         near = near[bands[x][(bands[near] == bands[x]).argmax(axis=1)] == bucket]
-        if len(near):
-            text = texts[x].as_py()
-            for y in near:
-                if root(label[x]) != root(label[y]) and alike(text, texts[y].as_py()):
-                    out.append((min(node[x], node[y]), max(node[x], node[y])))
-                    now[root(label[x])] = root(label[y])
+        waiting += [(x, y) for y in near]
+        if len(waiting) >= CELLS // 2:
+            settle()
+    settle()
     return out
 
 
@@ -266,9 +397,93 @@ def open_links(at: DataFrame) -> DataFrame:
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-        keep = [i for i in range(len(a)) if may_be_alike(x[i], y[i]) and alike(x[i], y[i])]
-        yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], names=["a", "b"])
+        x, y = (batch.column(c).to_pylist() for c in ("text_a", "text_b"))
+        keep = pa.array(alike_many(list(zip(x, y, strict=True))))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+
+
+def _deal(held: list[pa.RecordBatch], parts: int) -> pa.RecordBatch:
+    """Band keys and their nodes as bytes, one row for each part of the keys.
+
+    Of the nodes here that share a key only the least, the leader, goes to the part of the key, as ~node; the
+    others go with their leaders to a part of their own, numbered from ``parts`` on. So a hot key has few rows.
+    """
+    group = pa.Table.from_batches(held)
+    node = group.column("node").to_numpy()
+    order = np.argsort(node)
+    keys = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)[order].ravel().view(np.uint64)
+    node = np.repeat(node[order], BANDS)
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((keys, part))  # stable: the nodes of a key ascend
+    keys, node, part = keys[order], node[order], part[order]
+    first = np.append(True, keys[1:] != keys[:-1])
+    starts = np.flatnonzero(first)
+    leader = np.repeat(node[starts], np.diff(np.append(starts, len(keys))))
+    several = np.diff(np.append(starts, len(keys))) > 1
+    heads, of, at = keys[starts], np.where(several, ~node[starts], node[starts]), part[starts]
+    cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    ends = np.append(cuts[1:], len(at))
+    rows = [(int(at[b]), heads[b:e].tobytes(), of[b:e].tobytes(), b"") for b, e in zip(cuts, ends, strict=True)]
+    if not first.all():
+        rows.append((parts + int(node[0]) % parts, keys[~first].tobytes(), node[~first].tobytes(), leader[~first].tobytes()))
+    columns = zip(*rows, strict=True)
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["part", "keys", "nodes", "leaders"])
+
+
+def _deal_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows * BANDS
+        if n >= HELD:
+            yield _deal(held, parts)
+            held, n = [], 0
+    if n:
+        yield _deal(held, parts)
+
+
+def _meet_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, node, leader, top) of the keys of one part after the other."""
+    names = ["bucket", "node", "leader", "top"]
+
+    def met(held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        keys, node = (np.frombuffer(b"".join(x[i] for x in held), np.int64) for i in (0, 1))
+        several, node = node < 0, np.where(node < 0, ~node, node)
+        order = np.lexsort((node, keys))
+        keys, node, several = keys[order], node[order], several[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        keep = np.repeat((sizes > 1) | np.logical_or.reduceat(several, starts), sizes)
+        top = np.repeat(node[starts], sizes)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (keys, node, node, top)], names=names)
+
+    held, last = [], None
+    for batch in batches:
+        for part, keys, nodes, leaders in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "nodes", "leaders")), strict=True):
+            if leaders:
+                own = [pa.array(np.frombuffer(x, np.int64)) for x in (keys, nodes, leaders, leaders)]
+                yield pa.RecordBatch.from_arrays(own, names=names)
+                continue
+            if part != last and held:
+                yield met(held)
+                held = []
+            last = part
+            held.append((keys, nodes))
+    if held:
+        yield met(held)
+
+
+def band_members(nodes: DataFrame, n_nodes: int) -> DataFrame:
+    """``bucket_members`` of the band keys of ``nodes`` (node, bands), with all keys of a task sorted at once.
+
+    Keys travel in blocks of bytes, and rows are made of keys of several nodes only. A leader is the least of the
+    nodes with a key in some HELD keys, whose top is the least of the bucket.
+    """
+    parts = max(32, n_nodes * BANDS // PART_KEYS)
+    dealt = arrow_pass(nodes, partial(_deal_batches, parts=parts), "part long, keys binary, nodes binary, leaders binary")
+    dealt = dealt.repartition("part").sortWithinPartitions("part")
+    return arrow_pass(dealt, _meet_batches, "bucket long, node long, leader long, top long")
 
 
 def _pick_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,11 +491,11 @@ def _pick_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         picked, lines = [], []
         for text, wanted in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            split = fold(text).split(b"\n")
+            split = text.split(b"\n")
             picked += wanted
-            lines += [b" ".join(split[w["line"]].split()).decode("utf-8", "replace") for w in wanted]
+            lines += [b" ".join(normal(split[w["line"]])).decode("utf-8", "replace") for w in wanted]
         numbers = [pa.array([w[c] for w in picked], t) for c, t in (("node", pa.int64()), ("n", pa.int64()), ("size", pa.int32()))]
-        bits = pa.array([parities(x) for x in lines], pa.list_(pa.int64()))
+        bits = pa.array(list(parities_of(lines)), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([*numbers, bits, pa.array(lines, pa.string())], names=["node", "n", "size", "bits", "text"])
 
 
@@ -297,8 +512,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")
     )
     nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
-    members = nodes.select(F.col("id").alias("node"), F.explode("bands").alias("bucket"))
-    grouped = materialise(bucket_members(members, salts_for(nodes.count())), "line-buckets")
+    grouped = materialise(band_members(nodes.select(F.col("id").alias("node"), "bands"), nodes.count()), "line-buckets")
 
     wanted = nodes.join(grouped.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     wanted = wanted.groupBy(F.col("first.doc_id").alias("key"), F.col("first.text_hash").alias("hash")).agg(

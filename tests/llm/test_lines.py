@@ -136,3 +136,41 @@ def test_search_of_open_buckets_joins_what_all_pairs_join(spark):
 def test_normal():
     assert normal("  The  CAT, (no. 12,345) sat -- É! ") == "the cat no 0 sat É"
     assert normal("a7\tb  800 c-d") == "a0 b 0 cd"
+
+
+def test_many_distances_and_prints():
+    rng = random.Random(3)
+    pairs = [("", ""), ("", "ab"), ("abcd", ""), ("same " * 30, "same " * 30), ("x" * 5000, "x" * 2500 + "y" * 1200 + "x" * 1300)]
+    for _ in range(1500):
+        chars = rng.choice(["ab", "abcdé ", "abcdefghij漢字 😀"])
+        a = "".join(rng.choice(chars) for _ in range(rng.choice([1, 5, 30, 63, 64, 65, 127, 128, 129, 200, 400])))
+        share = rng.choice([0.05, 0.2, 0.28, 0.33])
+        pairs.append((a, "".join(rng.choice(chars) if rng.random() < share / 2 else c for c in a if rng.random() > share / 2)))
+    want = [lines.alike(a, b) for a, b in pairs]
+    assert lines.alike_many(pairs).tolist() == want and 200 < sum(want) < 1450
+    assert all(lines.alike(a, b) == (100 * edit(a, b) <= 25 * max(len(a), len(b))) for a, b in pairs[5:60])
+    texts = [t for p in pairs for t in p]
+    assert lines.parities_of(texts).tolist() == [lines.parities(t).tolist() for t in texts]
+
+
+def test_band_members_are_those_of_shared_keys(spark, monkeypatch):
+    """Hot keys within and across the blocks of keys that are sorted at once, and keys of one node."""
+    rng = random.Random(12)
+    keys = [-(1 << 63), -1, 0, 7, (1 << 63) - 1]
+    bands = {n: [rng.choice(keys) if rng.random() < 0.2 else rng.randrange(1 << 40) for _ in range(lines.BANDS)] for n in range(600)}
+    bands = {n: list(dict.fromkeys(b)) for n, b in bands.items()}
+    bands = {n: b + [(n << 44) + i + 1 for i in range(lines.BANDS - len(b))] for n, b in bands.items()}
+    rows = [(n, b) for n, b in bands.items()]
+    held = {}
+    for n, b in rows:
+        for k in b:
+            held.setdefault(k, set()).add(n)
+    want = {(k, n) for k, own in held.items() if len(own) > 1 for n in own}
+    for slices in (1, 7):
+        df = spark.createDataFrame(rows, "node long, bands array<long>").repartition(slices)
+        got = lines.band_members(df, len(rows)).collect()
+        assert sorted((r["bucket"], r["node"]) for r in got) == sorted(want) and len(want) > 500
+        for r in got:  # every member leads to the top of its bucket over its leader
+            own = held[r["bucket"]]
+            assert r["leader"] in own and (r["node"] != r["leader"] or r["top"] == min(own))
+        assert all(any(x["bucket"] == r["bucket"] and x["node"] == r["leader"] == x["leader"] for x in got) for r in got if r["node"] != r["leader"])
