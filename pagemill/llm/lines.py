@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,40 +38,38 @@ BITS = 512
 #: member has at most CROWD pairs in a bucket.
 CROWD, SEARCH = 64, 256
 #: Distances are taken together for as many pairs as need CELLS words of 64 bits; shorter sides of more than WIDE
-#: words are taken one by one.
-CELLS, WIDE = 2048, 64
+#: words are taken one by one. Every CHECK columns the pairs that can't be alike any more go. LETTERS bounds the table
+#: of characters. Pairs wait until there are WAITING of them, or HEAVY characters.
+CELLS, WIDE, CHECK, LETTERS = 1 << 14, 64, 16, 512
+WAITING, HEAVY = 1 << 14, 1 << 24
+#: How many words two lines move on to meet again, fewest first.
+_MOVES = sorted(((i, j) for i in range(5) for j in range(5) if i + j), key=lambda m: (max(m), sum(m)))
+_ONE, _LAST = np.array(1, np.uint64), np.array(63, np.uint64)
 #: Band keys that a task holds at once, and keys in a part of all keys.
 HELD, PART_KEYS = 1 << 19, 1 << 18
 _FACTORS = np.random.default_rng(6).integers(1 << 62, 1 << 63, BANDS * (WORD_MINS + 1), np.uint64) | np.uint64(1)
 _ZEROS = re.compile(rb"00+")
-_FOLD = bytes(b"0"[0] if chr(b).isdigit() and b < 128 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_FOLD = bytes(b"0"[0] if chr(b).isdigit() and b < 128 else b + 32 if 65 <= b <= 90 else 32 if b in b"\t\r\v\f" else b for b in range(256))
 _DROP = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
 def fold(text: bytes) -> bytes:
-    """Whole texts after normalisation of their characters; line ends and white space stay."""
+    """Whole texts after normalisation of their characters; line ends stay, other white space is blanks."""
     return _ZEROS.sub(b"0", text.translate(_FOLD, _DROP))
 
 
+def squeezed(line: bytes) -> bytes:
+    """A folded line with one blank between words."""
+    while b"  " in line:
+        line = line.replace(b"  ", b" ")
+    return line.strip(b" ")
+
+
 def normal(line: bytes) -> list[bytes]:
     """Words of a line after normalisation."""
     return fold(line).split()
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept while there are fewer than ``limit``."""
-
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -80,24 +77,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def line_bands(lines: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
-    """``BANDS`` 64-bit keys for each line (one word or more)."""
+class WordHashes:
+    """64-bit hashes of many words at once: the sum of the bytes, each times the factor of its place, mixed."""
+
+    def __init__(self) -> None:
+        self.factors = self._factors(256)
+
+    @staticmethod
+    def _factors(n: int) -> np.ndarray:
+        return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+    def __call__(self, lines: list[bytes]) -> np.ndarray:
+        """Hashes of the words of all lines, one blank between words."""
+        x = np.frombuffer(b" ".join(lines) + b" ", np.uint8)  # the blank after a word marks its length
+        ends = np.flatnonzero(x == 32)
+        starts = np.append(0, ends[:-1] + 1)
+        lengths = ends + 1 - starts
+        if (longest := int(lengths.max())) > len(self.factors):
+            self.factors = self._factors(longest)
+        values = self.factors[np.arange(len(x)) - np.repeat(starts, lengths)]
+        values *= x
+        return mix(np.add.reduceat(values, starts))
+
+
+def text_bands(lines: list[bytes], hashes: WordHashes) -> np.ndarray:
+    """``BANDS`` 64-bit keys for each line (one word or more, one blank between words)."""
     out = np.empty((len(lines), BANDS), np.uint64)
+    n_words = np.fromiter((x.count(b" ") + 1 for x in lines), np.int64, len(lines))
+    total = np.cumsum(n_words)
     begin = 0
     while begin < len(lines):  # some 20,000 words at a time
-        end, n = begin, 0
-        while end < len(lines) and (end == begin or n + len(lines[end]) <= 20_000):
-            n += len(lines[end])
-            end += 1
-        part = lines[begin:end]
-        x = np.fromiter(map(hashes.__getitem__, chain.from_iterable(part)), np.uint64, n)
-        lengths = np.fromiter(map(len, part), np.int64, len(part))
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] - n_words[begin] + 20_000, "right")))
+        lengths = n_words[begin:end]
+        x = hashes(lines[begin:end])
         starts = np.cumsum(lengths) - lengths
         after = np.append(x[1:], np.uint64(0))
         after[starts + lengths - 1] = 0  # the last word of a line is paired with its end
         pairs = mix(mix(x) * np.uint64(3) + after)
         for band in range(BANDS):
-            key = np.full(len(part), band, np.uint64)
+            key = np.full(end - begin, band, np.uint64)
             for i in range(WORD_MINS + 1):
                 values = (x if i < WORD_MINS else pairs) * _FACTORS[band * (WORD_MINS + 1) + i]
                 key = mix(key + np.minimum.reduceat(values, starts)) * np.uint64(0x9E3779B97F4A7C15)
@@ -106,25 +124,29 @@ def line_bands(lines: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
     return out
 
 
+def line_bands(lines: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
+    """``text_bands`` of lines as lists of words."""
+    return text_bands([b" ".join(words) for words in lines], hashes)
+
+
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
-        row, number, words = [], [], []
+        row, number, lines = [], [], []
         for i, text in enumerate(texts):
             for k, line in enumerate(fold(text).split(b"\n") if text else ()):
-                if len(line) >= 2 * MIN_WORDS - 1 and len(w := line.split()) >= MIN_WORDS:
+                if len(line) >= 2 * MIN_WORDS - 1 and (line := squeezed(line)).count(b" ") >= MIN_WORDS - 1:
                     row.append(i)
                     number.append(k)
-                    words.append(w)
+                    lines.append(line)
         ids = pa.array(row, pa.int64())
-        joined = [b" ".join(w) for w in words]
-        nodes = [xxhash.xxh3_128_digest(x) for x in joined]
-        bands = pa.array(line_bands(words, hashes).view(np.int64).ravel())
+        nodes = [xxhash.xxh3_128_digest(x) for x in lines]
+        bands = pa.array(text_bands(lines, hashes).view(np.int64).ravel())
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS), pa.int32()), bands)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(ids), batch.column("text_hash").take(ids), pa.array(number, pa.int32()), pa.array(nodes, pa.binary())]
-            + [pa.array([len(x.decode("utf-8", "replace")) for x in joined], pa.int32()), bands],
+            + [pa.array([len(x.decode("utf-8", "replace")) for x in lines], pa.int32()), bands],
             names=["doc_id", "text_hash", "line", "node", "size", "bands"],
         )
 
@@ -227,38 +249,69 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return x, np.fromiter(map(len, texts), np.int64, len(texts))
 
 
-def _distances(a: list[str], b: list[str]) -> np.ndarray:
-    """Levenshtein distances of pairs whose ``a`` all need equally many words of 64 bits, by blocks of bits as in
-    ``distance_at_most``. Word w of a column is done w steps after word 0, so all words of all pairs go at once."""
+def _within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether the Levenshtein distances of pairs, ``a`` not longer than ``b``, are at most ``most``.
+
+    By blocks of bits as in ``distance_at_most``. Word w of a column is done w steps after word 0, so the words of all
+    pairs go at once. Two things are left out that change no answer: words beyond the diagonals that a path of cost
+    ``most`` can reach (values there only come out too high), and pairs in which every value of the last columns done
+    plus the difference of the lengths that remain is above ``most``. Pairs end in the same column; the columns before
+    a shorter ``b`` change nothing.
+    """
     n, (x, la), (y, lb) = len(a), _codes(a), _codes(b)
-    words = int(-(-la[0] // 64))
     ids = np.zeros(int(max(x.max(), y.max())) + 1, np.int64)
     ids[x] = 1
+    letters = int(ids.sum()) + 1
+    if letters > LETTERS and n > 1:
+        k = n // 2
+        return np.append(_within(a[:k], b[:k], most[:k]), _within(a[k:], b[k:], most[k:]))
     ids = np.where(ids == 1, np.cumsum(ids), 0)  # characters that no ``a`` has are 0
-    where = np.zeros((int(ids.max()) + 1, words, n), np.uint64)
+    words, long = int(-(-la.max() // 64)), int(lb.max())
     row, at = np.repeat(np.arange(n), la), np.arange(len(x)) - np.repeat(np.cumsum(la) - la, la)
-    order = np.argsort(at, kind="stable")  # one place of every text at a time: no cell is named twice
-    row, code, ends = row[order], ids[x[order]], np.searchsorted(at[order], np.arange(la.max() + 1))
-    for k in range(int(la.max())):
-        s = slice(ends[k], ends[k + 1])
-        where[code[s], k // 64, row[s]] |= np.uint64(1 << k % 64)
-    where = where.ravel()
-    steps = int(lb.max()) + words
-    text = np.zeros((steps + words, n), np.int64)  # from row ``words`` on, column by column
-    text[np.arange(len(y)) - np.repeat(np.cumsum(lb) - lb, lb) + words, np.repeat(np.arange(n), lb)] = ids[y] * (words * n)
-    cell = np.arange(words * n).reshape(words, n)
-    one, last, top = np.uint64(1), np.uint64(63), ((la - 1) % 64).astype(np.uint64)
+    bit = (at % 64).astype(np.uint8)
+    order = np.argsort(bit, kind="stable")  # one bit of all words at a time: no cell is named twice
+    spot, ends = ((row * letters + ids[x]) * words + at // 64)[order], np.searchsorted(bit[order], np.arange(65))
+    where = np.zeros(n * letters * words, np.uint64)
+    for k in range(64):
+        where[spot[ends[k] : ends[k + 1]]] |= np.uint64(1 << k)
+    off = long - lb
+    text = np.zeros((long + words + 1, n), np.int64)  # columns from 1 on
+    text[np.arange(1, len(y) + 1) + np.repeat(off - (np.cumsum(lb) - lb), lb), np.repeat(np.arange(n), lb)] = ids[y] * words
+    # A path of cost ``most`` is at most so many rows below and columns beyond the diagonal.
+    low, over = int(((most - lb + la) // 2).max()), int(((most + lb - la) // 2).max() + off.max())
+    begins = [max(1, 64 * w + 1 - low) + w for w in range(words)] + [1 << 62]
+    leaves = [64 * (w + 1) + over + w for w in range(words - 1)] + [1 << 62]
+    final, who, out = (la - 1) // 64, np.arange(n), np.zeros(n, bool)
     up, down = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
     more, less = np.zeros((words + 1, n), np.uint64), np.zeros((words + 1, n), np.uint64)  # what enters a word from below
-    more[0] = 1  # the row above all words counts columns
-    score = la.copy()
-    same, idx, t, rise, fall, keep = (np.empty((words, n), k) for k in (np.uint64, np.int64, *[np.uint64] * 4))
-    for step in range(steps - 1):
-        w = min(step + 1, words)  # words that have begun
+    lo = hi = since = 0
+    base = None  # values above word ``lo`` in step ``since`` if it isn't the first
+
+    def room() -> list[np.ndarray]:
+        cell = np.arange(len(who)) * (letters * words) + np.arange(words)[:, None]
+        return [cell, *[np.empty((words, len(who)), k) for k in (np.uint64, np.int64, *[np.uint64] * 4)]]
+
+    def values() -> tuple[np.ndarray, np.ndarray]:
+        """Values above the words lo to hi and at their last bits, each in the column that its word has reached."""
+        first = np.maximum(0, step - off) if base is None else base + (step - since)
+        steps = np.bitwise_count(up[lo:hi]).astype(np.int64) - np.bitwise_count(down[lo:hi])
+        turn = less[lo + 1 : hi + 1].astype(np.int64) - more[lo + 1 : hi + 1].astype(np.int64)
+        steps[0] += first
+        steps[1:] += turn[:-1]
+        bottom = np.cumsum(steps, axis=0)
+        return np.concatenate([first[None], bottom + turn]), bottom
+
+    cell, same, idx, t, rise, fall, keep = room()
+    for step in range(1, long + words):
+        while begins[hi] <= step:
+            hi += 1
+        if base is None:
+            more[0] = step > off
+        w = hi - lo
         S, I, T, R, D, K = same[:w], idx[:w], t[:w], rise[:w], fall[:w], keep[:w]
-        P, M, hp, hm = up[:w], down[:w], more[:w], less[:w]
-        np.add(text[step + words - w + 1 : step + words + 1][::-1], cell[:w], out=I)
-        np.take(where, I, out=S)
+        P, M, hp, hm = up[lo:hi], down[lo:hi], more[lo:hi], less[lo:hi]
+        np.add(text[step - hi + 1 : step - lo + 1][::-1], cell[lo:hi], out=I)
+        where.take(I, out=S, mode="clip")
         np.bitwise_or(S, M, out=K)
         np.bitwise_or(S, hm, out=S)
         np.bitwise_and(S, P, out=T)
@@ -269,32 +322,76 @@ def _distances(a: list[str], b: list[str]) -> np.ndarray:
         np.invert(R, out=R)
         np.bitwise_or(R, M, out=R)
         np.bitwise_and(P, T, out=D)
-        if step >= words - 1:
-            change = (rise[-1] >> top & one).astype(np.int64) - (fall[-1] >> top & one).astype(np.int64)
-            score += np.where(step - words + 1 < lb, change, 0)
-        np.left_shift(R, one, out=T)
+        np.left_shift(R, _ONE, out=T)
         np.bitwise_or(T, hp, out=T)
-        np.left_shift(D, one, out=P)
+        np.left_shift(D, _ONE, out=P)
         np.bitwise_or(P, hm, out=P)
-        np.right_shift(R, last, out=more[1 : w + 1])
-        np.right_shift(D, last, out=less[1 : w + 1])
+        np.right_shift(R, _LAST, out=more[lo + 1 : hi + 1])
+        np.right_shift(D, _LAST, out=less[lo + 1 : hi + 1])
         np.bitwise_and(T, K, out=M)
         np.bitwise_or(T, K, out=T)
         np.invert(T, out=T)
         np.bitwise_or(P, T, out=P)
-    return score
+        if step >= long:  # word step - long has reached the last column
+            w = step - long
+            own = np.flatnonzero(final == w)
+            if len(own):
+                mask = ~np.uint64(0) >> (63 - (la[own] - 1) % 64).astype(np.uint64)
+                ups, downs = (np.bitwise_count(v[w][own] & mask).astype(np.int64) for v in (up, down))
+                out[who[own]] = values()[0][w - lo][own] + ups - downs <= most[own]
+        elif step % CHECK == 0 and words > 1:
+            top, bottom = values()
+            w = np.arange(lo, hi)[:, None]
+            ahead = la - long + np.maximum(step - w, off) - 64 * w  # rows from the top of a word to the end's diagonal
+            live = np.maximum(top[:-1] - ahead, bottom + ahead - 64).min(axis=0) - 1 <= most  # 1: words end a column apart
+            n_live = int(live.sum())
+            if not n_live:
+                return out
+            if n_live <= 0.7 * len(who):
+                where = where.reshape(len(who), -1)[live].ravel()
+                who, la, most, off, final, base = (v if v is None else v[live] for v in (who, la, most, off, final, base))
+                text, up, down, more, less = (v[:, live] for v in (text, up, down, more, less))
+                cell, same, idx, t, rise, fall, keep = room()
+        if step >= leaves[lo]:
+            base, since = values()[0][1], step
+            lo += 1
+            more[lo], less[lo] = 1, 0
+    return out
+
+
+def clearly_alike(a: str, b: str, most: int) -> bool:
+    """Holds only if ``a`` turns into ``b`` with ``most`` edits, by runs of equal words and what stands between them."""
+    x, y = a.split(" "), b.split(" ")
+    n, m, i, j, cost = len(x), len(y), 0, 0, 0
+    while i < n and j < m:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        for p, q in _MOVES:
+            if i + p < n and j + q < m and x[i + p] == y[j + q]:
+                break
+        else:
+            break
+        cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q)
+        if cost > most:
+            return False
+        i, j = i + p, j + q
+    return cost + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j) <= most
 
 
 def alike_many(pairs: list[tuple[str, str]]) -> np.ndarray:
     """``alike`` of many pairs: like lengths are measured together."""
     out = np.zeros(len(pairs), bool)
-    todo: dict[int, list] = {}
+    todo = []
     for i, (a, b) in enumerate(pairs):
         if len(a) > len(b):
             a, b = b, a
         most = (100 - PERCENT) * len(b) // 100
         if len(b) - len(a) > most:
             continue
+        if clearly_alike(a, b, most):
+            out[i] = True
+            continue
         n = shared(a, b)
         a, b = a[n:], b[n:]
         if n := shared(a[::-1], b[::-1]):
@@ -304,77 +401,84 @@ def alike_many(pairs: list[tuple[str, str]]) -> np.ndarray:
         elif len(a) > 64 * WIDE:
             out[i] = may_be_alike(*pairs[i]) and distance_at_most(a, b, most)
         elif a:
-            todo.setdefault(-(-len(a) // 64), []).append((len(b), i, a, b, most))
-    for words, own in todo.items():
-        own.sort(key=lambda p: p[:2])
-        step = max(8, CELLS // words)
-        for k in range(0, len(own), step):
-            _, at, a, b, most = zip(*own[k : k + step], strict=True)
-            out[list(at)] = _distances(list(a), list(b)) <= np.array(most)
+            todo.append((len(b), i, a, b, most))
+    todo.sort(key=lambda p: p[:2])
+    begin = 0
+    while begin < len(todo):
+        end, longest = begin + 1, todo[begin][0] * 5 // 4 + 16
+        while end < len(todo) and todo[end][0] <= longest and (end - begin + 1) * -(-todo[end][0] // 64) <= CELLS:
+            end += 1
+        _, at, a, b, most = zip(*todo[begin:end], strict=True)
+        out[list(at)] = _within(list(a), list(b), np.array(most))
+        begin = end
     return out
 
 
-def _links_of(group: pa.Table, hashes: WordHashes) -> list[tuple[int, int]]:
-    """Links between different components in one (part of a) bucket that join them, each in its first common bucket."""
-    column = lambda c: group.column(c).to_numpy()
-    node, label, size, part = column("node"), column("label"), column("size").astype(np.int64), column("part")
-    matrix = lambda c: group.column(c).combine_chunks().flatten().to_numpy().reshape(len(node), -1)
-    bits, texts = matrix("bits").view(np.uint64), group.column("text").to_pylist()
-    bands = line_bands([t.encode().split() for t in texts], hashes).view(np.int64)
-    bucket, big, crossed = group.column("bucket")[0].as_py(), group.column("big")[0].as_py(), column("low")[0] != column("high")[0]
-    now: dict[int, int] = {}  # labels joined by the links found here
+class Search:
+    """Links between different components, as many as join them, from one (part of a) bucket after the other."""
+
+    def __init__(self) -> None:
+        self.hashes = WordHashes()
+        self.now: dict[int, int] = {}  # labels joined by the links found here
+        self.waiting: list[tuple] = []
+        self.heavy = 0
 
-    def root(x: int) -> int:
-        while (y := now.get(x, x)) != x:
-            x = y
+    def root(self, x: int) -> int:
+        while (y := self.now.get(x, x)) != x:
+            self.now[x] = x = self.now.get(y, y)
         return x
 
-    out, waiting = [], []
-
-    def settle() -> None:
-        met = [(x, y) for x, y in waiting if root(label[x]) != root(label[y])]
-        waiting.clear()
-        for (x, y), good in zip(met, alike_many([(texts[x], texts[y]) for x, y in met]), strict=True):
-            if good and root(label[x]) != root(label[y]):
-                out.append((min(node[x], node[y]), max(node[x], node[y])))
-                now[root(label[x])] = root(label[y])
-
-    for x in np.flatnonzero(label != big):
-        longer = np.maximum(size, size[x])
-        fits = (label != label[x]) & ((label == big) | (node > node[x])) & (100 * np.minimum(size, size[x]) >= PERCENT * longer)
-        if crossed:
-            fits &= part != part[x]
-        near = np.flatnonzero(fits)
-        apart = np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1)
-        near = near[apart <= 4 * ((100 - PERCENT) * longer[near] // 100)]
-        near = near[bands[x][(bands[near] == bands[x]).argmax(axis=1)] == bucket]
-        waiting += [(x, y) for y in near]
-        if len(waiting) >= CELLS // 2:
-            settle()
-    settle()
-    return out
+    def settle(self) -> pa.RecordBatch:
+        """The links among the pairs that wait."""
+        met = [p for p in self.waiting if self.root(p[0]) != self.root(p[1])]
+        self.waiting, self.heavy, out = [], 0, []
+        for (x, y, a, b, _, _), good in zip(met, alike_many([p[4:] for p in met]), strict=True):
+            if good and self.root(x) != self.root(y):
+                out.append((min(a, b), max(a, b)))
+                self.now[self.root(x)] = self.root(y)
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    def meet(self, group: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Pairs of one group wait, each in its first common bucket; yields links when enough wait."""
+        column = lambda c: group.column(c).to_numpy()
+        node, label, size, part = column("node"), column("label"), column("size").astype(np.int64), column("part")
+        matrix = lambda c: group.column(c).combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        bits, texts = matrix("bits").view(np.uint64), group.column("text").to_pylist()
+        bands = text_bands([t.encode() for t in texts], self.hashes).view(np.int64)
+        bucket, big, crossed = group.column("bucket")[0].as_py(), group.column("big")[0].as_py(), column("low")[0] != column("high")[0]
+        nodes, labels = node.tolist(), label.tolist()
+        for x in np.flatnonzero(label != big):
+            longer = np.maximum(size, size[x])
+            fits = (label != label[x]) & ((label == big) | (node > node[x])) & (100 * np.minimum(size, size[x]) >= PERCENT * longer)
+            if crossed:
+                fits &= part != part[x]
+            near = np.flatnonzero(fits)
+            apart = np.bitwise_count(bits[near] ^ bits[x]).sum(axis=1)
+            near = near[apart <= 4 * ((100 - PERCENT) * longer[near] // 100)]
+            near = near[bands[x][(bands[near] == bands[x]).argmax(axis=1)] == bucket]
+            self.waiting += [(labels[x], labels[y], nodes[x], nodes[y], texts[x], texts[y]) for y in near.tolist()]
+            self.heavy += int(size[near].sum()) + len(near) * int(size[x])
+            if len(self.waiting) >= WAITING or self.heavy >= HEAVY:
+                yield self.settle()
 
 
 def _search_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of groups of rows that stand together (bucket, low, high), one group in memory at a time."""
-
-    def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        links = _links_of(pa.Table.from_batches(parts), hashes)
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    held, last, hashes = [], None, WordHashes()
+    held, last, search = [], None, Search()
     for batch in batches:
         keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "low", "high")], axis=1).astype(np.int64)
         starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
         for begin, end in zip(starts[:-1], starts[1:], strict=True):
             key = tuple(keys[begin]) if end > begin else last
             if key != last and held:
-                yield found(held)
+                yield from search.meet(pa.Table.from_batches(held))
                 held = []
             last = key
             held.append(batch.slice(begin, end - begin))
     if held:
-        yield found(held)
+        yield from search.meet(pa.Table.from_batches(held))
+    if search.waiting:
+        yield search.settle()
 
 
 def open_links(at: DataFrame) -> DataFrame:
@@ -396,10 +500,21 @@ def open_links(at: DataFrame) -> DataFrame:
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        group = pa.Table.from_batches(held).combine_chunks()
+        x, y = (group.column(c).to_pylist() for c in ("text_a", "text_b"))
+        good = group.select(["a", "b"]).filter(pa.array(alike_many(list(zip(x, y, strict=True)))))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in good.columns], names=["a", "b"])
+
+    held, n, size = [], 0, 0
     for batch in batches:
-        x, y = (batch.column(c).to_pylist() for c in ("text_a", "text_b"))
-        keep = pa.array(alike_many(list(zip(x, y, strict=True))))
-        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+        held.append(batch)
+        n, size = n + batch.num_rows, size + batch.nbytes
+        if n >= WAITING or size >= HEAVY:
+            yield kept(held)
+            held, n, size = [], 0, 0
+    if n:
+        yield kept(held)
 
 
 def _deal(held: list[pa.RecordBatch], parts: int) -> pa.RecordBatch:
@@ -493,7 +608,7 @@ def _pick_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for text, wanted in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             split = text.split(b"\n")
             picked += wanted
-            lines += [b" ".join(normal(split[w["line"]])).decode("utf-8", "replace") for w in wanted]
+            lines += [squeezed(fold(split[w["line"]])).decode("utf-8", "replace") for w in wanted]
         numbers = [pa.array([w[c] for w in picked], t) for c, t in (("node", pa.int64()), ("n", pa.int64()), ("size", pa.int32()))]
         bits = pa.array(list(parities_of(lines)), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([*numbers, bits, pa.array(lines, pa.string())], names=["node", "n", "size", "bits", "text"])

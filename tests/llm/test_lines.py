@@ -174,3 +174,50 @@ def test_band_members_are_those_of_shared_keys(spark, monkeypatch):
             own = held[r["bucket"]]
             assert r["leader"] in own and (r["node"] != r["leader"] or r["top"] == min(own))
         assert all(any(x["bucket"] == r["bucket"] and x["node"] == r["leader"] == x["leader"] for x in got) for r in got if r["node"] != r["leader"])
+
+
+def test_distances_left_early_or_outside_the_band_change_no_answer(monkeypatch):
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
+    pairs = []
+    for _ in range(240):
+        a = text(rng.choice([60, 64, 66, 130, 200, 330]))
+        share = rng.choice([0.1, 0.22, 0.25, 0.28, 0.6])
+        b = "".join(rng.choice("abcde ") if rng.random() < share / 2 else c for c in a if rng.random() > share / 2)
+        k = len(b) // 7
+        pairs.append((a, rng.choice([b, b + text(k), text(k) + b[k:], b[k:] + text(k), b[k:]])))
+    want = [100 * edit(a, b) <= 25 * max(len(a), len(b)) for a, b in pairs]
+    for cells, check in ((lines.CELLS, lines.CHECK), (40, 1), (lines.CELLS, 1), (300, 7)):
+        monkeypatch.setattr(lines, "CELLS", cells)
+        monkeypatch.setattr(lines, "CHECK", check)
+        assert lines.alike_many(pairs).tolist() == want and 50 < sum(want) < 190
+    monkeypatch.setattr(lines, "LETTERS", 3)
+    assert lines.alike_many(pairs).tolist() == want
+    for a, b in pairs:
+        most = 25 * max(len(a), len(b)) // 100
+        assert not lines.clearly_alike(a, b, most) or lines.alike(a, b)
+
+
+def test_few_words_of_the_table_are_computed(monkeypatch):
+    """Half the table at most for alike pairs with scattered edits, a third for random ones, which are left early."""
+    rng = random.Random(22)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    far, close = [], []
+    for _ in range(100):
+        a = text(900)
+        far.append((a, text(900)))
+        close.append((a, "".join(rng.choice("xyz") if rng.random() < 0.2 else c for c in a)))
+    shift, done = lines.np.left_shift, []
+    monkeypatch.setattr(lines.np, "left_shift", lambda x, *args, **named: done.append(x.size) or shift(x, *args, **named))
+    for pairs, want, most in ((far, False, 0.33), (close, True, 0.5)):
+        done.clear()
+        assert (lines.alike_many(pairs) == want).all()
+        assert 0 < sum(done) / 2 <= most * 100 * 900 * -(-900 // 64)
+
+
+def test_white_space_of_lines():
+    for line in (b"a\tb  c \r", b" \x0b a - b\x0cc d", b"", b"  ", b"x" * 70000 + b"  y"):
+        assert lines.squeezed(lines.fold(line)) == b" ".join(lines.normal(line))
+    words = [b"w", b"ww", b"x" * 70000, b"y" * 70000, b"x" * 69999, "é漢".encode()]
+    apart, together = lines.WordHashes(), lines.WordHashes()
+    assert [int(apart([w])[0]) for w in words] == together([b" ".join(words)]).tolist() and len(set(together(words).tolist())) == len(words)
